@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_bpe, chat_format, language_id, repetition
+from tidemark.llm import byte_bpe, chat_format, language_id, near_dedup, repetition
 from tidemark.llm.common import table
 
 
@@ -18,6 +18,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digest(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents on two-word shingles."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one whose texts hold control strings, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -38,6 +43,7 @@ def op8_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op4_chat_format": op4_chat_format,
     "op6_language_id": op6_language_id,
     "op7_byte_bpe": op7_byte_bpe,
@@ -88,16 +94,19 @@ def _repetition_sql() -> str:
     return rf"""
         WITH d AS (
             SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
-                regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+                regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
         words AS (SELECT rid, w, len(w) AS total, unnest(range(1, len(w) + 1)) AS i, length(unnest(w)) AS chars FROM d),
         base AS (
             SELECT rid, doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
                 (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols FROM d),
         lines AS (SELECT rid, n, line, row_number() OVER (PARTITION BY rid, line ORDER BY n) AS nth FROM (
             SELECT rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM d)
-            WHERE regexp_matches(line, '[^ 	-]')),
+            WHERE regexp_matches(line, '[^ 	-
+]')),
         l AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (nth > 1) AS n_dup_lines,
-            coalesce(sum(length(regexp_replace(line, '[ 	-]+', '', 'g'))) FILTER (nth > 1), 0)::BIGINT AS dup_line_chars FROM lines GROUP BY rid),
+            coalesce(sum(length(regexp_replace(line, '[ 	-
+]+', '', 'g'))) FILTER (nth > 1), 0)::BIGINT AS dup_line_chars FROM lines GROUP BY rid),
         {",".join(grams)}
         SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(g5.covered, 0) AS n_repeat_words,
             coalesce(n_lines, 0) AS n_lines, coalesce(dup_line_chars, 0) AS dup_line_chars,
@@ -108,7 +117,23 @@ def _repetition_sql() -> str:
         FROM base LEFT JOIN l USING (rid) {" ".join(joins)}"""
 
 
+_NEAR_DEDUP_SQL = r"""
+    WITH RECURSIVE d AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    shingles AS (
+        SELECT DISTINCT doc_id, hash(CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END) AS s
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM d WHERE len(w) > 0)),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    pairs AS (
+        SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL) p
+        JOIN sizes m ON m.doc_id = p.a JOIN sizes n ON n.doc_id = p.b WHERE 100 * common >= 80 * (m.n + n.n - common)),
+    links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+    reached AS (SELECT doc_id AS node, doc_id AS other FROM d UNION SELECT r.node, l.b FROM reached r JOIN links l ON l.a = r.other)
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(other) AS component_id, d.doc_id = min(other) AS kept
+    FROM d LEFT JOIN sizes USING (doc_id) JOIN reached ON node = d.doc_id GROUP BY d.doc_id, n"""
+
 SQL: dict[str, str] = {
+    "op1_near_dedup": _NEAR_DEDUP_SQL,
     "op4_chat_format": _chat_sql(),
     "op8_repetition": _repetition_sql(),
 }

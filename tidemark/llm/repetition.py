@@ -15,33 +15,19 @@ that hold about CHUNK_BYTES bytes; a longer text is a chunk by itself.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import chunks, joined_bytes, mix64
+from tidemark.llm.common import chunks, mix64
+from tidemark.llm.words import Words
 
 #: Most percent of a text's word characters inside duplicated n-grams, by n.
 NGRAM_PERCENT = {5: 25, 6: 24, 7: 23, 8: 22, 9: 21, 10: 20}
 #: Most percent of the lines, and of the word characters, in lines equal to an earlier one.
 LINE_PERCENT, LINE_CHAR_PERCENT = 50, 30
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
-_BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
-_CODES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BASE = 0x9E3779B97F4A7C15
-
-
-@lru_cache(maxsize=1)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, for 2**bits positions."""
-    out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        p = np.full(1 << bits, base, np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
 
 
 def _twice(keys: np.ndarray) -> np.ndarray:
@@ -56,29 +42,18 @@ def _twice(keys: np.ndarray) -> np.ndarray:
 
 def measures(column: pa.Array) -> dict[str, np.ndarray]:
     """Counts of every text of the column."""
-    data, rows = joined_bytes(column)
+    words = Words(column)
+    data, rows, start, end, row, word = words.data, words.rows, words.start, words.end, words.row, words.hash
     n = len(rows) - 1
-    power, inverse = _powers(max(20, len(data).bit_length()))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_CODES[data] * power[: len(data)], out=sums[1:])
     points = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=points[1:])
     symbols = np.zeros(len(data) + 1, np.int64)
     np.cumsum(_SYMBOLS[data], out=symbols[1:])
 
-    def hashed(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix64((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
-
     def per_row(row: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
         return np.bincount(row, weight, n)[:n].astype(np.int64)
 
-    blank = _BLANK[data]
-    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-    if len(data) and not blank[0]:
-        edge = np.append(0, edge)
-    start, end = edge[::2], edge[1::2]
-    row = np.searchsorted(rows, start, "right") - 1
-    word, chars = hashed(start, end), points[end] - points[start]
+    chars = points[end] - points[start]
     salt = mix64(row.astype(np.uint64) + np.uint64(1))
     out = {"n_words": per_row(row), "word_chars": per_row(row, chars), "n_symbols": symbols[rows[1:]] - symbols[rows[:-1]]}
 
@@ -96,13 +71,13 @@ def measures(column: pa.Array) -> dict[str, np.ndarray]:
 
     end = np.flatnonzero(data == 10)
     start = np.append(0, end[:-1] + 1)[: len(end)]
-    words_before = np.searchsorted(edge[::2], np.append(start, len(data)))
+    words_before = np.searchsorted(words.start, np.append(start, len(data)))
     full = words_before[1:] > words_before[:-1]
     upto = np.append(0, np.cumsum(chars))
     line_chars = (upto[words_before[1:]] - upto[words_before[:-1]])[full]
     start, end = start[full], end[full]
     line_row = np.searchsorted(rows, start, "right") - 1
-    key = mix64(hashed(start, end) ^ mix64(line_row.astype(np.uint64) + np.uint64(1)))
+    key = mix64(words.hashed(start, end) ^ mix64(line_row.astype(np.uint64) + np.uint64(1)))
     order = np.argsort(key, kind="stable")
     again = order[1:][key[order][1:] == key[order][:-1]]
     out["n_lines"] = per_row(line_row)
