@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, chat_format, language_id, near_dedup, repetition
+from tidemark.llm import byte_bpe, chat_format, cover_tree, language_id, near_dedup, repetition
 from tidemark.llm.common import table
 
 
@@ -42,12 +43,18 @@ def op8_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors for every fiftieth vector."""
+    return cover_tree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op4_chat_format": op4_chat_format,
     "op6_language_id": op6_language_id,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_repetition": op8_repetition,
+    "op10_cover_tree": op10_cover_tree,
 }
 
 
@@ -132,8 +139,17 @@ _NEAR_DEDUP_SQL = r"""
     SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(other) AS component_id, d.doc_id = min(other) AS kept
     FROM d LEFT JOIN sizes USING (doc_id) JOIN reached ON node = d.doc_id GROUP BY d.doc_id, n"""
 
+_COVER_TREE_SQL = """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+        WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+    r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+    SELECT * FROM r WHERE rank <= 5"""
+
 SQL: dict[str, str] = {
     "op1_near_dedup": _NEAR_DEDUP_SQL,
     "op4_chat_format": _chat_sql(),
     "op8_repetition": _repetition_sql(),
+    "op10_cover_tree": _COVER_TREE_SQL,
 }
