@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, chat_format, cover_tree, language_id, near_dedup, repetition
+from tidemark.llm import byte_bpe, chat_format, cover_tree, language_id, line_dedup, mixing, near_dedup, repetition
 from tidemark.llm.common import table
 
 
@@ -24,6 +24,11 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in a mix of their sources, the square roots of their sizes as targets."""
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one whose texts hold control strings, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -33,6 +38,11 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_digest(rows.unionByName(hostile))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that over a tenth of their source's documents share."""
+    return line_dedup.line_report(table(spark, sf_dir, "documents"), percent=10, least_pages=3)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     return language_id.identify(table(spark, sf_dir, "documents"))
@@ -50,7 +60,9 @@ def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_mixing": op2_mixing,
     "op4_chat_format": op4_chat_format,
+    "op5_line_dedup": op5_line_dedup,
     "op6_language_id": op6_language_id,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_repetition": op8_repetition,
@@ -147,9 +159,23 @@ _COVER_TREE_SQL = """
     r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
     SELECT * FROM r WHERE rank <= 5"""
 
+_LINE_DEDUP_SQL = """
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text FROM documents),
+    lines AS (
+        SELECT rid, doc_id, source, n, line, trim(line, ' ' || chr(9) || chr(13)) AS k FROM (
+            SELECT rid, doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM d)),
+    totals AS (SELECT source, count(*) AS pages FROM d GROUP BY source),
+    often AS (SELECT source, k, count(DISTINCT rid) AS n FROM lines WHERE k <> '' AND source IS NOT NULL GROUP BY ALL HAVING count(DISTINCT rid) >= 3),
+    gone AS (SELECT source, k, true AS drop FROM often JOIN totals USING (source) WHERE 100 * n > 10 * pages),
+    marked AS (SELECT lines.*, coalesce(drop, false) AS drop FROM lines LEFT JOIN gone USING (source, k))
+    SELECT d.doc_id, count(m.rid) AS n_lines, count(m.rid) FILTER (m.drop) AS n_dropped,
+        CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(m.line, chr(10) ORDER BY m.n) FILTER (NOT m.drop), '') END AS text
+    FROM d LEFT JOIN marked m USING (rid) GROUP BY rid, d.doc_id, d.text"""
+
 SQL: dict[str, str] = {
     "op1_near_dedup": _NEAR_DEDUP_SQL,
     "op4_chat_format": _chat_sql(),
+    "op5_line_dedup": _LINE_DEDUP_SQL,
     "op8_repetition": _repetition_sql(),
     "op10_cover_tree": _COVER_TREE_SQL,
 }
