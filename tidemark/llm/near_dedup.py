@@ -224,6 +224,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return named.select("doc_id", "n_shingles", F.coalesce("component", "class").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with the smallest doc_id of each group of near duplicates; of rows that share it, the first by text."""
+    found = checkpointed(near_duplicates(docs, words, percent))
+    gone = found.filter("not kept").select("doc_id").distinct()
+    again = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if again.isEmpty():
+        return left
+    repeated = left.join(again, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"))
+    nth = F.row_number().over(Window.partitionBy("row.doc_id").orderBy("row.text"))
+    first = repeated.withColumn("nth", nth).filter("nth = 1").select("row.*")
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(first)
+
+
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """The full sets of some documents, one for each id."""
 
