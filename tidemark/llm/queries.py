@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, chat_format, cover_tree, language_id, line_dedup, mixing, near_dedup, repetition
+from tidemark.llm import byte_bpe, chat_format, cover_tree, cross_parse, language_id, line_dedup, mixing, near_dedup, repetition
 from tidemark.llm.common import table
 
 
@@ -53,6 +53,12 @@ def op8_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_cross_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relative entropy of every document to the documents that are labelled as good."""
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1")
+    return cross_parse.cross_parse(table(spark, sf_dir, "documents"), trusted)
+
+
 def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best other vectors for every fiftieth vector."""
     return cover_tree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_repetition": op8_repetition,
+    "op9_cross_parse": op9_cross_parse,
     "op10_cover_tree": op10_cover_tree,
 }
 
