@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, chat_format, cover_tree, cross_parse, language_id, line_dedup, mixing, near_dedup, repetition
+from tidemark.llm import byte_bpe, chat_format, cover_tree, cross_parse, language_id, license_scan, line_dedup, mixing, near_dedup, repetition
 from tidemark.llm.common import table
 
 
@@ -29,6 +29,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence lines of all documents."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one whose texts hold control strings, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -67,6 +72,7 @@ def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_mixing": op2_mixing,
+    "op3_license_scan": op3_license_scan,
     "op4_chat_format": op4_chat_format,
     "op5_line_dedup": op5_line_dedup,
     "op6_language_id": op6_language_id,
