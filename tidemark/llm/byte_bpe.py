@@ -30,7 +30,9 @@ from tidemark.llm.common import chunks
 
 _NONE = np.int32(0x7FFFFFFF)
 #: Pieces in the memo, and the bytes up to which a piece is kept there.
-MEMO_PIECES, MEMO_BYTES = 400_000, 64
+MEMO_PIECES, MEMO_BYTES = 150_000, 64
+#: Texts that are encoded together, in bytes.
+_CHUNK = 1 << 20
 #: Groups of fewer pieces of one padded length are encoded one by one.
 _FEW = 6
 #: For texts of these characters alone, the standard library's faster matcher splits as the pattern does.
@@ -211,7 +213,7 @@ def loaded(path: str, pattern: str) -> ByteBPE:
 
 def _encoded(batches: Iterator[pa.RecordBatch], text: str, path: str, pattern: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     bpe = loaded(path, pattern)
-    for part in chunks(batches, text):
+    for part in chunks(batches, text, _CHUNK):
         yield part, bpe.encode([t or "" for t in part.column(text).to_pylist()])
 
 

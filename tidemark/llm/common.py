@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled at once inside a Python worker, in bytes; arrays over its bytes are several times as large.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 #: Words of the contracts: runs of anything but these six ASCII blanks.
 WORD_BREAKS = r"[\x20\x09-\x0D]+"

@@ -32,7 +32,7 @@ DIMENSIONS, SLOTS, SEED = 1024, 48, 20
 MAX_LANGUAGES = 2000
 UNKNOWN = "und"
 #: Trigram vectors that are bundled at once.
-_BLOCK = 2048
+_BLOCK = 512
 
 
 @lru_cache(maxsize=1)
@@ -48,11 +48,19 @@ def _slots() -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def _trigrams() -> np.ndarray:
-    """The bound vector of every trigram of slots, as int8."""
+def _letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The vector of every slot as the first, second and third letter of a trigram."""
     letters = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (SLOTS, DIMENSIONS))
-    two, one = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
-    return (two[:, None, None] * one[None, :, None] * letters[None, None]).reshape(SLOTS**3, DIMENSIONS)
+    return np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1), letters
+
+
+def bound(grams: np.ndarray) -> np.ndarray:
+    """The bound vectors of trigrams."""
+    first, second, third = _letters()
+    out = first[grams // (SLOTS * SLOTS)]
+    out *= second[grams // SLOTS % SLOTS]
+    out *= third[grams % SLOTS]
+    return out
 
 
 def profile(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
@@ -75,10 +83,10 @@ def profile(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
 
 def bundle(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The sum of the trigrams' vectors, each times its count."""
-    out, vectors = np.zeros(DIMENSIONS, np.float64), _trigrams()
+    out = np.zeros(DIMENSIONS, np.float64)
     for k in range(0, len(grams), _BLOCK):
         # einsum stays on one thread, where a BLAS product of this size would start one for each core.
-        out += np.einsum("i,ij->j", counts[k : k + _BLOCK].astype(np.float32), vectors[grams[k : k + _BLOCK]].astype(np.float32))
+        out += np.einsum("i,ij->j", counts[k : k + _BLOCK].astype(np.float32), bound(grams[k : k + _BLOCK]).astype(np.float32))
     return out
 
 
@@ -98,7 +106,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
             # Counts of a partition are far below 2**53 / DIMENSIONS, so these sums are exact integers.
             sums = np.zeros(DIMENSIONS, np.int64)
             for k in range(0, len(grams), _BLOCK):
-                sums += c[grams[k : k + _BLOCK]] @ _trigrams()[grams[k : k + _BLOCK]].astype(np.int64)
+                sums += c[grams[k : k + _BLOCK]] @ bound(grams[k : k + _BLOCK]).astype(np.int64)
             yield pa.RecordBatch.from_pydict({"lang": [name] * DIMENSIONS, "dimension": pa.array(range(DIMENSIONS), pa.int32()), "value": sums})
 
     labelled = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang is not null and text is not null")

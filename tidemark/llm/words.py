@@ -37,7 +37,7 @@ class Words:
     def __init__(self, column: pa.Array, fold: bool = False):
         self.data, self.rows = joined_bytes(column)
         data = _LOWER[self.data] if fold else self.data
-        power, self._inverse = _powers(max(20, len(data).bit_length()))
+        power, self._inverse = _powers(max(19, len(data).bit_length()))
         self._sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_CODES[data] * power[: len(data)], out=self._sums[1:])
         blank = _BLANK[data]
