@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 #: Text handled at once inside a Python worker, in bytes; arrays over its bytes are several times as large.
 CHUNK_BYTES = 1 << 18
 
+#: Most bytes of the batches that Spark hands to a Python worker; by default it takes 64 MB, held several times over.
+BATCH_BYTES = 4 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 #: Words of the contracts: runs of anything but these six ASCII blanks.
 WORD_BREAKS = r"[\x20\x09-\x0D]+"
 
@@ -22,6 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, whose session is set to Arrow batches of at most BATCH_BYTES, unless they are smaller already."""
+    conf = df.sparkSession.conf
+    now = str(conf.get(_BATCH_KEY, f"{BATCH_BYTES + 1}")).removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(_BATCH_KEY, BATCH_BYTES)
+    return df
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold at most ``limit`` bytes of ``text``, or one row."""
     for batch in batches:

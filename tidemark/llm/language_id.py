@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks
+from tidemark.llm.common import bounded, chunks
 
 DIMENSIONS, SLOTS, SEED = 1024, 48, 20
 MAX_LANGUAGES = 2000
@@ -110,7 +110,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
             yield pa.RecordBatch.from_pydict({"lang": [name] * DIMENSIONS, "dimension": pa.array(range(DIMENSIONS), pa.int32()), "value": sums})
 
     labelled = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang is not null and text is not null")
-    sums = labelled.mapInArrow(run, "lang string, dimension int, value long").groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("dimension", "value"))).alias("parts"))
+    sums = bounded(labelled).mapInArrow(run, "lang string, dimension int, value long").groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("dimension", "value"))).alias("parts"))
     found: dict[str, np.ndarray] = {}
     for row in sums.limit(MAX_LANGUAGES + 1).collect():
         vector = np.zeros(DIMENSIONS)
@@ -146,7 +146,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
 
     from pyspark.sql import types as T
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(pred, T.StringType(), False), T.StructField(score, T.DoubleType(), False)]))
+    return bounded(kept).mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(pred, T.StringType(), False), T.StructField(score, T.DoubleType(), False)]))
 
 
 def held_out(doc_id: Column) -> Column:

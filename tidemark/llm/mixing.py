@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 MAX_SOURCES, FRAME = 256, 1024
 #: Rows in a block, and about the rows that are ranked in one task's sort at once.
-BLOCK_ROWS, BUCKET_ROWS = 64, 50_000
+BLOCK_ROWS, BUCKET_ROWS = 64, 4_096
 
 
 def frame(shares: Mapping[int, int]) -> dict[int, list[int]]:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, chunks, mix64
+from tidemark.llm.common import bounded, checkpointed, chunks, mix64
 from tidemark.llm.words import Words
 
 BANDS, BAND_ROWS, BITS = 32, 4, 4
@@ -117,7 +117,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             })
 
     schema = "doc_id long, n_shingles long, set_a long, set_b long, signature array<long>, bands array<long>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -249,7 +249,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "shingles": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))})
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    return own.mapInArrow(run, "doc_id long, shingles array<long>").filter("size(shingles) > 0")
+    return bounded(own).mapInArrow(run, "doc_id long, shingles array<long>").filter("size(shingles) > 0")
 
 
 def _across(shared: DataFrame, facts: DataFrame, found: DataFrame, tested: DataFrame, partners: int | None, percent: int) -> DataFrame:

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import chunks, mix64
+from tidemark.llm.common import bounded, chunks, mix64
 from tidemark.llm.words import Words
 
 #: Most percent of a text's word characters inside duplicated n-grams, by n.
@@ -108,4 +108,4 @@ def repetition_rules(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id")} | {k: pa.array(m[k], pa.int64()) for k in _COUNTS} | {k: pa.array(v) for k, v in verdict.items()})
 
     schema = ", ".join(["doc_id long", *(f"{k} long" for k in _COUNTS), "base_failed boolean", "kept boolean"])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, schema)
