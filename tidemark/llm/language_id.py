@@ -48,7 +48,7 @@ def _slots() -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def _letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _letters() -> tuple[np.ndarray, ...]:
     """The vector of every slot as the first, second and third letter of a trigram."""
     letters = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (SLOTS, DIMENSIONS))
     return np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1), letters
