@@ -13,7 +13,7 @@ from tidemark.plans.experiments import ExperimentConfig, run_experiments
 from tidemark.sources import frames, persist
 from tidemark.streaming.score import append_to, apply
 
-SIGNAL, NOISE = [1, 1, 1, -1, -1, -1, 1, -1], [-1, 1, -1, 1, -1, 1, -1, 1]
+SIGNAL, NOISE = ([1 if c == "+" else -1 for c in signs] for signs in ("+++---+-", "-+-+-+-+"))
 
 
 def twins(spark):

@@ -3,8 +3,8 @@ import pytest
 
 from tidemark.operators.solvers import SOLVERS, Rows, accelerate, descend
 
-X = np.array([(1, 1, -1), (1, -1, -1), (-1, 1, 1), (-1, -1, 1), (1, 1, 1), (-1, -1, -1)], float)
-Y = np.array([1, 1, 0, 0, 1, 0])
+X = np.array([[1.0 if c == "+" else -1.0 for c in row] for row in "++- +-- -++ --+ +++ ---".split()])
+Y = np.array([int(c) for c in "110010"])
 
 
 def objective(rows, w, b, lam):

@@ -53,10 +53,8 @@ class CriticalRangeClassifier(Learner):
 
         rectifier = None
         if self.rectify:
-            rectifier = Rectifier(
-                labelCol=self.labelCol, featureCols=names, groups=self.groups, sdfilter=self.sdfilter, snap=self.snap, quantile_bounds=self.quantile_bounds,
-                add_complements=self.add_complements, complement_prefix=self.complement_prefix,
-            ).fit(work)
+            shared = {k: getattr(self, k) for k in Rectifier.PARAMS if k in self.PARAMS and k not in ("featureCols", "exclude_features")}
+            rectifier = Rectifier(featureCols=names, **shared).fit(work)
             work, names = rectifier.transform(work), rectifier.output_features
         work = work.persist()
         try:

@@ -20,6 +20,8 @@ from tidemark.operators.solvers import sigmoid
 
 #: Rows of the histogram that come to the driver; with -1/+1 features, k features need k (k + 3) / 2.
 HISTOGRAM_LIMIT = 2_000_000
+#: Intercepts are sought from minus to plus this.
+BRACKET = 40.0
 
 
 @dataclass
@@ -90,15 +92,11 @@ def mean_intercept(t: np.ndarray, pos: np.ndarray, n: np.ndarray, start: float)
         b -= step
         if abs(step) < 1e-8:
             return b, False
-    lo, hi = -40.0, 40.0
+    b, half = 0.0, BRACKET / 2
     for _ in range(32):
-        mid = (lo + hi) / 2
-        if float(n @ sigmoid(t + mid)) / total > rate:
-            hi = mid
-        else:
-            lo = mid
-    b = (lo + hi) / 2
-    return b, abs(b) > 40 - 1e-6
+        b += -half if float(n @ sigmoid(t + b)) / total > rate else half
+        half /= 2
+    return b, abs(b) > BRACKET - 1e-6
 
 
 def mofk_intercept(k: int, scale: float, m: int | None, m_frac: float | None) -> float:
