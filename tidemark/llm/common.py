@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.cluster import ship
+
 #: Text handled at once inside a Python worker, in bytes; arrays over its bytes are several times as large.
 CHUNK_BYTES = 1 << 18
 
@@ -27,7 +29,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """``df``, whose session is set to Arrow batches of at most BATCH_BYTES, unless they are smaller already."""
+    """``df``, whose session can import this package in its workers and is set to Arrow batches of at most BATCH_BYTES, unless they are smaller already."""
+    ship(df.sparkSession)
     conf = df.sparkSession.conf
     now = str(conf.get(_BATCH_KEY, f"{BATCH_BYTES + 1}")).removesuffix("b")
     if not now.isdigit() or int(now) > BATCH_BYTES:

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import bounded
+
 #: Vectors and queries in a block, and points in a leaf.
 VECTOR_BLOCK, QUERY_BLOCK, LEAF = 16_384, 32_768, 128
 _LIMIT = 1 << 20
@@ -162,6 +164,6 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
         r, c = np.nonzero(np.isfinite(scores))
         return pd.DataFrame({"query_id": ids[asks][r], "vec_id": found[r, c], "score": scores[r, c].astype(np.int64)})
 
-    parts = asked.unionByName(held).repartition(q_blocks * v_blocks, "q", "b").groupBy("q", "b").applyInPandas(run, "query_id long, vec_id long, score long")
+    parts = bounded(asked.unionByName(held)).repartition(q_blocks * v_blocks, "q", "b").groupBy("q", "b").applyInPandas(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
     return parts.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
