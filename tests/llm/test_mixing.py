@@ -64,3 +64,41 @@ def test_weights_are_met(spark, monkeypatch):
     for n in range(1, 390):
         assert abs(order[:n].count("a") - 0.75 * n) < 1.1
     assert order[400:] == ["b"] * 200
+
+
+def ideal(blocks, weights, t):
+    """Blocks of each unit that the ideal mix has run after t slots, by water filling."""
+    left, total, out = set(blocks), t, {}
+    while True:
+        v = total / sum(weights[u] for u in left) if left else 0
+        full = {u for u in left if blocks[u] <= weights[u] * v}
+        if not full:
+            return out | {u: weights[u] * v for u in left}
+        out |= {u: Fraction(blocks[u]) for u in full}
+        total -= sum(blocks[u] for u in full)
+        left -= full
+
+
+@pytest.mark.parametrize("weights", [[0.7, 0.2, 0.1], [1.0, 1e-5, 0.3], [0.5, *[0.5 / 255] * 255], [n**0.5 for n in range(1, 20)]])
+def test_exact_weights_on_long_runs(weights):
+    """Every unit stays within one block of its true weight, also after others have run out."""
+    exact = {u: Fraction(w) for u, w in enumerate(weights)}
+    blocks = {u: 3_000 if u == 0 else 9 * (u + 1) if len(weights) > 3 else 5_000 // u for u in exact}
+    place = {}
+    for u, first, end, base, k, j, at in mixing.schedule(blocks, dict(enumerate(weights))):
+        for b in range(first + j, end, k):
+            place[base + (b - first) // k * mixing.FRAME + at] = u
+    ran = dict.fromkeys(blocks, 0)
+    for slot in range(sum(blocks.values())):
+        ran[place[slot]] += 1
+        if slot % 499 == 0 or slot < 20:
+            due = ideal(blocks, exact, Fraction(slot + 1))
+            assert all(abs(ran[u] - due[u]) < 1 for u in blocks)
+    assert ran == blocks
+
+
+def test_schedule_is_the_same_without_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "abcd"[i % 7 % 4]) for i in range(2_000)], "doc_id long, source string")
+    want = sorted(map(tuple, mixing.mix_report(df).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_BLOCKS", 0)
+    assert sorted(map(tuple, mixing.mix_report(df).collect())) == want

@@ -1,15 +1,15 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-The rows of every source are cut into blocks. Time is counted in slots of one block. With target weight w, a source's
-block i is released at floor(i / w) and due by ceil((i + 1) / w); in every slot the released block with the earliest
-deadline runs. As the weights sum to one, no deadline is missed and after every slot each source is less than one block
-from its share.
+The rows of every source are cut into blocks. Time is counted in slots of one block. In the ideal mix, a source with
+weight w and n blocks has had min(n, w v) of them at virtual time v, and v(t) is where these sum to t; so a source that
+runs out leaves its share to the others in proportion. Block i is released in the slot in which the ideal mix reaches
+it and due by the end of the slot in which the ideal mix completes it; in every slot the released block with the
+earliest deadline runs. No deadline is missed, and after every slot each source is less than one block from its ideal.
 
-Weights are multiples of 1 / FRAME, so the schedule repeats after FRAME slots. One frame is simulated on the driver and
-holds the slot of every block in it; any block's slot follows by arithmetic. When a source runs out, a new phase begins
-in which the others share its weight in proportion. There are at most as many phases as sources, so the schedule that
-is broadcast has at most MAX_SOURCES * (FRAME + 1) rows, whatever the size of the table. With more sources, those with the same hash
-modulo MAX_SOURCES are mixed as one.
+Weights are taken as the exact rationals that they are and compared in whole numbers, so nothing is rounded however long
+the mix runs. One task makes the schedule and hands it on as it goes: it holds the sources, and the schedule has one row
+for each block. It is broadcast if it has at most BROADCAST_BLOCKS rows, else joined by source and block. With more than
+MAX_SOURCES sources, those with the same hash modulo MAX_SOURCES are mixed as one.
 
 Within a source, rows are ordered by a hash of their id. Ranks come from small hash buckets plus the counts of the
 buckets before, so no source is ranked in one task.
@@ -22,71 +22,88 @@ others'; an empty table gives an empty table. No row is dropped.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from fractions import Fraction
+from itertools import batched
+from math import lcm
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import bounded
+
+#: FRAME: slots that the schedule hands on at once.
 MAX_SOURCES, FRAME = 256, 1024
 #: Rows in a block, and about the rows that are ranked in one task's sort at once.
 BLOCK_ROWS, BUCKET_ROWS = 64, 4_096
+#: Blocks of all sources up to which the schedule is broadcast, about 25 MB.
+BROADCAST_BLOCKS = 250_000
+
+
+def slots(units: Iterable[tuple[Any, int, float]]) -> Iterator[tuple[Any, int, int]]:
+    """(unit, block, slot) of every block, by slot, of units given as (unit, blocks, weight above 0); ties go to the first."""
+    rows = [(u, n, Fraction(w)) for u, n, w in units if n]
+    scale = lcm(*(w.denominator for _, _, w in rows))
+    names, blocks, weight = [u for u, _, _ in rows], [n for _, n, _ in rows], [int(w * scale) for _, _, w in rows]
+    # Fractions of two weights differ by at least 1 over their product, so this many binary digits order them exactly.
+    digits = 2 * max(weight, default=1).bit_length() + 1
+    ends = sorted(range(len(rows)), key=lambda k: Fraction(blocks[k], weight[k]), reverse=True)
+    waiting = [(0, k, 0) for k in range(len(rows))]
+    ready: list[tuple[int, int, int]] = []
+    done, active = 0, sum(weight)
+    for t in range(sum(blocks)):
+        # At the slot's end the virtual time is (t + 1 - done) / active; units that end before have had all their blocks.
+        while ends and active * blocks[ends[-1]] <= (t + 1 - done) * weight[ends[-1]]:
+            k = ends.pop()
+            done, active = done + blocks[k], active - weight[k]
+        while waiting and (not ends or waiting[0][2] * active < (t + 1 - done) * weight[waiting[0][1]]):
+            _, k, i = heapq.heappop(waiting)
+            heapq.heappush(ready, ((i + 1 << digits) // weight[k], k, i))
+        _, k, i = heapq.heappop(ready)
+        yield names[k], i, t
+        if i + 1 < blocks[k]:
+            heapq.heappush(waiting, ((i + 1 << digits) // weight[k], k, i + 1))
+
+
+def planned(units: Iterable[tuple[Any, int, float]]) -> Iterator[tuple[Any, int, int]]:
+    """:func:`slots` of the units with a weight, then of the others by weights of 1."""
+    units = list(units)
+    first = [x for x in units if x[2] > 0]
+    base = sum(n for _, n, _ in first)
+    yield from slots(first)
+    yield from ((u, i, base + t) for u, i, t in slots((u, n, 1) for u, n, w in units if not w > 0))
 
 
 def frame(shares: Mapping[int, int]) -> dict[int, list[int]]:
-    """For each unit, the slots in which its blocks of one frame run; the shares sum to the frame's slots."""
-    slots = sum(shares.values())
-    waiting = [(0, unit, 0) for unit in sorted(shares) if shares[unit]]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int, int]] = []
+    """For each unit, the slots in which its blocks run if it has as many as its whole weight."""
     out: dict[int, list[int]] = {u: [] for u in shares}
-    for t in range(slots):
-        while waiting and waiting[0][0] <= t:
-            _, unit, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(i + 1) * slots // shares[unit]), unit, i))
-        _, unit, i = heapq.heappop(ready)
-        out[unit].append(t)
-        if i + 1 < shares[unit]:
-            heapq.heappush(waiting, ((i + 1) * slots // shares[unit], unit, i + 1))
+    for u, _, t in slots((u, shares[u], shares[u]) for u in sorted(shares)):
+        out[u].append(t)
     return out
 
 
-def whole_shares(weights: Mapping[int, float]) -> dict[int, int]:
-    """Weights as positive shares of FRAME slots, by largest remainder."""
-    exact = {u: Fraction(w) for u, w in weights.items()}
-    total = sum(exact.values())
-    ideal = {u: w / total * (FRAME - len(exact)) for u, w in exact.items()}
-    shares = {u: 1 + int(x) for u, x in ideal.items()}
-    for u in sorted(ideal, key=lambda u: (int(ideal[u]) - ideal[u], u))[: FRAME - sum(shares.values())]:
-        shares[u] += 1
-    return shares
+def schedule(blocks: Mapping[int, int], weights: Mapping[int, float]) -> list[tuple[int, int, int, int, int, int, int]]:
+    """The mix as rows (unit, block, end block, slot, 1, 0, 0): runs of blocks, each of a single one."""
+    return [(u, i, i + 1, t, 1, 0, 0) for u, i, t in planned((u, n, weights.get(u, 0)) for u, n in blocks.items())]
+
 
+def _plan(units: DataFrame) -> DataFrame:
+    """The schedule (u, block, slot) of a table (u, blocks, w), made in one task."""
 
-def schedule(blocks: Mapping[int, int], weights: Mapping[int, float]) -> list[tuple[int, int, int, int, int, int, int]]:
-    """The mix as rows (unit, first block, end block, base slot, blocks a frame, place in the frame, slot there).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, kind = [], pa.null()
+        for b in batches:
+            kind = b.schema.field("u").type
+            rows += zip(*(b.column(c).to_pylist() for c in ("u", "blocks", "w")), strict=True)
+        rows.sort(key=lambda r: (r[0] is not None, r[0]) if r[0] is not None else (False,))
+        for part in batched(planned(rows), FRAME):
+            u, block, slot = zip(*part, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u, kind), pa.array(block, pa.int64()), pa.array(slot, pa.int64())], ["u", "block", "slot"])
 
-    Block b of a unit, from its first block up to its end, runs in slot base + (b - first) // k * FRAME + the slot of
-    place (b - first) % k, where k is its blocks a frame. Units without a weight follow by weights of 1.
-    """
-    out, base = [], 0
-    used = dict.fromkeys(blocks, 0)
-    for group in ([u for u in blocks if weights.get(u, 0) > 0], [u for u in blocks if weights.get(u, 0) <= 0]):
-        active = [u for u in group if blocks[u]]
-        while active:
-            shares = whole_shares({u: weights[u] if weights.get(u, 0) > 0 else 1 for u in active})
-            slots = frame(shares)
-
-            def slot(u: int, i: int, k: dict = shares, s: dict = slots) -> int:
-                return i // k[u] * FRAME + s[u][i % k[u]]
-
-            end = min(slot(u, blocks[u] - used[u]) for u in active)
-            for u in active:
-                ran = end // FRAME * shares[u] + sum(s < end % FRAME for s in slots[u])
-                out += [(u, used[u], used[u] + ran, base, shares[u], j, s) for j, s in enumerate(slots[u])]
-                used[u] += ran
-            base += end
-            active = [u for u in active if used[u] < blocks[u]]
-    return out
+    kind = units.schema["u"].dataType.simpleString()
+    return bounded(units.select("u", "blocks", "w")).repartition(1).mapInArrow(run, f"u {kind}, block long, slot long")
 
 
 def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", doc_id: str = "doc_id", text: str | None = None) -> DataFrame:
@@ -111,11 +128,10 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, sour
         pooled = share.groupBy(unit.alias("u")).agg(F.sum("n").alias("n"), F.sum("w").alias("w")).collect()
         sizes, target = {r.u: r.n for r in pooled}, {r.u: r.w for r in pooled}
 
-    plan = schedule({u: -(-n // BLOCK_ROWS) for u, n in sizes.items()}, target)
-    # At most MAX_SOURCES**2 rows name the phases and MAX_SOURCES * FRAME the slots, so both can be broadcast.
-    steps = spark.createDataFrame(plan, "u int, first long, end long, base long, k int, place int, at int")
-    phases = F.broadcast(steps.select("u", "first", "end", "base", "k").distinct().filter("first < end"))
-    slots = F.broadcast(steps.select("u", "base", "place", "at"))
+    blocks = [(u, -(-n // BLOCK_ROWS), float(target[u])) for u, n in sizes.items()]
+    plan = _plan(spark.createDataFrame(blocks, "u int, blocks long, w double"))
+    if sum(n for _, n, _ in blocks) <= BROADCAST_BLOCKS:
+        plan = F.broadcast(plan)
 
     buckets = F.lit(max(1, -(-max(sizes.values(), default=1) // BUCKET_ROWS)))
     key = F.xxhash64(doc_id)
@@ -127,11 +143,8 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, sour
     sums = docs.select(F.col(source).alias("source"), key.alias("key")).groupBy(unit.alias("u"), F.pmod("key", buckets).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     before = sums.select("u", "bucket", (F.sum("n").over(Window.partitionBy("u").orderBy("bucket")) - F.col("n")).alias("before"))
     ranked = ranked.join(before, ["u", "bucket"]).withColumn("rank", F.col("rank") + F.col("before")).withColumn("block", F.floor(F.col("rank") / BLOCK_ROWS))
-    placed = ranked.alias("r").join(phases.alias("p"), (F.col("r.u") == F.col("p.u")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("end")))
-    placed = placed.select("row", F.col("r.u").alias("u"), "rank", "block", "base", "k", (F.col("block") - F.col("first")).alias("turn"))
-    placed = placed.withColumn("place", (F.col("turn") % F.col("k")).cast("int")).join(slots, ["u", "base", "place"])
-    slot = F.col("base") + F.floor(F.col("turn") / F.col("k")) * FRAME + F.col("at")
-    return placed.select("row", "block", slot.alias("slot"), (slot * BLOCK_ROWS + F.col("rank") % BLOCK_ROWS).alias("position"))
+    placed = ranked.join(plan, ["u", "block"])
+    return placed.select("row", "block", "slot", (F.col("slot") * BLOCK_ROWS + F.col("rank") % BLOCK_ROWS).alias("position"))
 
 
 def mix_report(docs: DataFrame, weights: Mapping[str | None, float] | None = None) -> DataFrame:
