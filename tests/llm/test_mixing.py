@@ -102,3 +102,27 @@ def test_schedule_is_the_same_without_broadcast(spark, monkeypatch):
     want = sorted(map(tuple, mixing.mix_report(df).collect()))
     monkeypatch.setattr(mixing, "BROADCAST_BLOCKS", 0)
     assert sorted(map(tuple, mixing.mix_report(df).collect())) == want
+
+
+def test_many_sources_keep_their_own_weights(spark, monkeypatch):
+    """With more than 256 sources each is scheduled by itself, and one without a weight runs after all others."""
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 2)
+    sources = [None, "hot", *(f"s{i}" for i in range(300))]
+    df = spark.createDataFrame([(1_000 * k + i, s) for k, s in enumerate(sources) for i in range(600 if s == "hot" else 2 + k % 4)], "doc_id long, source string")
+    weights = {s: 0.0 if s == "s7" else 150.0 if s == "hot" else 0.5 for s in sources if s != "s9"}
+    got = mixing.mix_report(df, weights).collect()
+    assert len(got) == df.count() == len({r.position for r in got})
+    counts, at = {}, {}
+    for r in got:
+        counts[r.source, r.block] = counts.get((r.source, r.block), 0) + 1
+        at[r.slot] = r.source
+    assert max(counts.values()) == 2 and len(at) == len(counts) == max(at) + 1
+    last = {s for r in got if (s := r.source) in ("s7", "s9")}
+    assert last == {"s7", "s9"} and min(t for t, s in at.items() if s in last) > max(t for t, s in at.items() if s not in last)
+    blocks = {s: n for s in sources if s not in last and (n := len([1 for u, _ in counts if u == s]))}
+    ran = dict.fromkeys(blocks, 0)
+    for slot in range(sum(blocks.values())):
+        ran[at[slot]] += 1
+        if slot % 60 == 0:
+            due = ideal(blocks, {s: Fraction(weights[s]) for s in blocks}, Fraction(slot + 1))
+            assert all(abs(ran[s] - due[s]) < 1 for s in blocks)

@@ -8,8 +8,8 @@ earliest deadline runs. No deadline is missed, and after every slot each source
 
 Weights are taken as the exact rationals that they are and compared in whole numbers, so nothing is rounded however long
 the mix runs. One task makes the schedule and hands it on as it goes: it holds the sources, and the schedule has one row
-for each block. It is broadcast if it has at most BROADCAST_BLOCKS rows, else joined by source and block. With more than
-MAX_SOURCES sources, those with the same hash modulo MAX_SOURCES are mixed as one.
+for each block. It is broadcast if it has at most BROADCAST_BLOCKS rows, else joined by source and block. Every source is
+scheduled by its own weight, however many there are.
 
 Within a source, rows are ordered by a hash of their id. Ranks come from small hash buckets plus the counts of the
 buckets before, so no source is ranked in one task.
@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded
 
-#: FRAME: slots that the schedule hands on at once.
-MAX_SOURCES, FRAME = 256, 1024
+#: Slots that the schedule hands on at once.
+FRAME = 1024
+#: Nothing depends on the number of sources any more; the name stays for callers that set it.
+MAX_SOURCES = 256
 #: Rows in a block, and about the rows that are ranked in one task's sort at once.
 BLOCK_ROWS, BUCKET_ROWS = 64, 4_096
 #: Blocks of all sources up to which the schedule is broadcast, about 25 MB.
@@ -89,15 +91,16 @@ def schedule(blocks: Mapping[int, int], weights: Mapping[int, float]) -> list[tu
     return [(u, i, i + 1, t, 1, 0, 0) for u, i, t in planned((u, n, weights.get(u, 0)) for u, n in blocks.items())]
 
 
-def _plan(units: DataFrame) -> DataFrame:
-    """The schedule (u, block, slot) of a table (u, blocks, w), made in one task."""
+def _plan(units: DataFrame, given: dict[Any, float] | None) -> DataFrame:
+    """The schedule (u, block, slot) of a table (u, blocks, w), made in one task; ``given`` weights replace w."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, kind = [], pa.null()
         for b in batches:
             kind = b.schema.field("u").type
-            rows += zip(*(b.column(c).to_pylist() for c in ("u", "blocks", "w")), strict=True)
-        rows.sort(key=lambda r: (r[0] is not None, r[0]) if r[0] is not None else (False,))
+            own = zip(*(b.column(c).to_pylist() for c in ("u", "blocks", "w")), strict=True)
+            rows += own if given is None else ((u, n, given.get(u, 0.0)) for u, n, _ in own)
+        rows.sort(key=lambda r: (False,) if r[0] is None else (True, r[0]))
         for part in batched(planned(rows), FRAME):
             u, block, slot = zip(*part, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(u, kind), pa.array(block, pa.int64()), pa.array(slot, pa.int64())], ["u", "block", "slot"])
@@ -106,44 +109,35 @@ def _plan(units: DataFrame) -> DataFrame:
     return bounded(units.select("u", "blocks", "w")).repartition(1).mapInArrow(run, f"u {kind}, block long, slot long")
 
 
+def _joined(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """An inner join by u, where null is a source like others, and ``key``."""
+    right = right.withColumnsRenamed({"u": "__u", key: "__key"})
+    return left.join(right, F.col("u").eqNullSafe(F.col("__u")) & (F.col(key) == F.col("__key"))).drop("__u", "__key")
+
+
 def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", doc_id: str = "doc_id", text: str | None = None) -> DataFrame:
     """Every row of ``docs`` as the struct ``row``, with its block (within its source), slot, and position in the mix.
 
     Without weights, a source's target is the square root of its rows. ``text`` breaks ties of doc_id.
     """
-    spark = docs.sparkSession
-    sources = docs.select(F.col(source).alias("source"))
-    counts = sources.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.orderBy(F.col("source").asc_nulls_first()).limit(MAX_SOURCES + 1).collect()
-    if len(rows) <= MAX_SOURCES:
-        unit = F.lit(None).cast("int")
-        for i, r in enumerate(rows):
-            unit = F.when(F.col("source").eqNullSafe(F.lit(r["source"])), F.lit(i)).otherwise(unit)
-        sizes = {i: r["n"] for i, r in enumerate(rows)}
-        target = {i: (weights.get(r["source"], 0) if weights is not None else r["n"] ** 0.5) for i, r in enumerate(rows)}
-    else:
-        unit = F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(MAX_SOURCES)).cast("int")
-        given = spark.createDataFrame([(k, float(v)) for k, v in (weights or {}).items()], "s string, w double")
-        share = counts.join(given, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("w", F.coalesce("w", F.lit(0.0) if weights is not None else F.sqrt("n")))
-        pooled = share.groupBy(unit.alias("u")).agg(F.sum("n").alias("n"), F.sum("w").alias("w")).collect()
-        sizes, target = {r.u: r.n for r in pooled}, {r.u: r.w for r in pooled}
-
-    blocks = [(u, -(-n // BLOCK_ROWS), float(target[u])) for u, n in sizes.items()]
-    plan = _plan(spark.createDataFrame(blocks, "u int, blocks long, w double"))
-    if sum(n for _, n, _ in blocks) <= BROADCAST_BLOCKS:
+    given = None if weights is None else {k: float(w) for k, w in weights.items()}
+    counts = docs.groupBy(F.col(source).alias("u")).agg(F.count(F.lit(1)).alias("n"))
+    most, blocks = counts.agg(F.max("n"), F.sum(F.ceil(F.col("n") / BLOCK_ROWS))).first()
+    plan = _plan(counts.select("u", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks"), F.sqrt("n").alias("w")), given)
+    if (blocks or 0) <= BROADCAST_BLOCKS:
         plan = F.broadcast(plan)
 
-    buckets = F.lit(max(1, -(-max(sizes.values(), default=1) // BUCKET_ROWS)))
+    buckets = F.lit(max(1, -(-(most or 1) // BUCKET_ROWS)))
     key = F.xxhash64(doc_id)
     ties = [F.col(doc_id).alias("id"), *([F.col(text).alias("tie")] if text else [])]
-    keyed = docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), key.alias("key"), *ties)
-    keyed = keyed.withColumn("u", unit).withColumn("bucket", F.pmod("key", buckets).cast("int")).drop("source")
+    keyed = docs.select(F.struct("*").alias("row"), F.col(source).alias("u"), key.alias("key"), *ties)
+    keyed = keyed.withColumn("bucket", F.pmod("key", buckets).cast("int"))
     inside = Window.partitionBy("u", "bucket").orderBy("key", "id", *(["tie"] if text else []))
     ranked = keyed.withColumn("rank", F.row_number().over(inside).cast("long") - 1)
-    sums = docs.select(F.col(source).alias("source"), key.alias("key")).groupBy(unit.alias("u"), F.pmod("key", buckets).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    sums = docs.groupBy(F.col(source).alias("u"), F.pmod(key, buckets).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     before = sums.select("u", "bucket", (F.sum("n").over(Window.partitionBy("u").orderBy("bucket")) - F.col("n")).alias("before"))
-    ranked = ranked.join(before, ["u", "bucket"]).withColumn("rank", F.col("rank") + F.col("before")).withColumn("block", F.floor(F.col("rank") / BLOCK_ROWS))
-    placed = ranked.join(plan, ["u", "block"])
+    ranked = _joined(ranked, before, "bucket").withColumn("rank", F.col("rank") + F.col("before")).withColumn("block", F.floor(F.col("rank") / BLOCK_ROWS))
+    placed = _joined(ranked, plan, "block")
     return placed.select("row", "block", "slot", (F.col("slot") * BLOCK_ROWS + F.col("rank") % BLOCK_ROWS).alias("position"))
 
 
