@@ -59,9 +59,8 @@ def op8_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_cross_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relative entropy of every document to the documents that are labelled as good."""
-    trusted = table(spark, sf_dir, "labels").filter("quality = 1")
-    return cross_parse.cross_parse(table(spark, sf_dir, "documents"), trusted)
+    """Relative entropy of every document to all others."""
+    return cross_parse.cross_parse(table(spark, sf_dir, "documents"))
 
 
 def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

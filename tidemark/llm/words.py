@@ -13,18 +13,21 @@ _BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _CODES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15
+#: Two primes below 2**31 with a base for each. Modulo a power of two, every base has texts that collide (Thue-Morse).
+_FIELDS = ((2_147_483_647, 1_103_515_243), (2_147_483_629, 1_597_334_677))
 
 
-@lru_cache(maxsize=1)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, for 2**bits positions."""
-    out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        p = np.full(1 << bits, base, np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
+@lru_cache(maxsize=2)
+def _powers(bits: int) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+    """For each field, powers of the base and of its inverse for 2**bits positions."""
+
+    def powers(base: int, prime: int) -> np.ndarray:
+        p = np.ones(1 << bits, np.uint64)
+        for k in range(bits):
+            p[1 << k : 2 << k] = p[: 1 << k] * np.uint64(pow(base, 1 << k, prime)) % np.uint64(prime)
+        return p
+
+    return tuple((powers(base, prime), powers(pow(base, -1, prime), prime)) for prime, base in _FIELDS)
 
 
 class Words:
@@ -37,9 +40,12 @@ class Words:
     def __init__(self, column: pa.Array, fold: bool = False):
         self.data, self.rows = joined_bytes(column)
         data = _LOWER[self.data] if fold else self.data
-        power, self._inverse = _powers(max(19, len(data).bit_length()))
-        self._sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_CODES[data] * power[: len(data)], out=self._sums[1:])
+        self._fields = []
+        for (prime, _), (power, inverse) in zip(_FIELDS, _powers(max(19, len(data).bit_length())), strict=True):
+            sums = np.zeros(len(data) + 1, np.uint64)
+            codes = _CODES % np.uint64(prime)
+            np.cumsum(codes[data] * power[: len(data)] % np.uint64(prime), out=sums[1:])
+            self._fields.append((np.uint64(prime), sums, inverse))
         blank = _BLANK[data]
         edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
         if len(data) and not blank[0]:
@@ -50,7 +56,11 @@ class Words:
 
     def hashed(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of the bytes from ``start`` up to ``end``: a prefix sum gives each in constant time."""
-        return mix64((self._sums[end] - self._sums[start]) * self._inverse[start] + (end - start).astype(np.uint64))
+        out = (end - start).astype(np.uint64)
+        for prime, sums, inverse in self._fields:
+            # Sums only grow, so differences aren't negative.
+            out = mix64(out) + (sums[end] - sums[start]) % prime * inverse[start] % prime
+        return mix64(out)
 
     def row_words(self) -> np.ndarray:
         """Bounds of each row's words: those of row i are from item i up to item i + 1."""
