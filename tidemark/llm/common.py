@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,12 +70,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and cut from its lineage, so lost executors cost no recomputation."""
+    """``df`` written to the shared checkpoint folder and cut from its lineage, so lost executors cost no recomputation.
+
+    The folder is the session's, or the one in spark.checkpoint.dir. Only in local mode may there be none: all of it runs
+    on one machine then, and a folder of its own is made.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
@@ -92,6 +98,12 @@ def placed(df: DataFrame, key: str) -> DataFrame:
         conf.set(adaptive, before)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets the driver notice which tables are out of use, so that Spark removes their shuffle files before the job ends."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def folded(text: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
