@@ -52,39 +52,63 @@ class Rows:
         return float(max(off.max(initial=0.0), abs(gap.sum())))
 
 
+def _quadratic(g: np.ndarray, h: np.ndarray, w: np.ndarray, lam: np.ndarray, sweeps: int = 1000) -> np.ndarray:
+    """The step d that minimises g d + d h d / 2 + sum(lam |w + d|) by cyclic coordinate descent on the curvature matrix."""
+    d, slope, bend = np.zeros(len(g)), g.copy(), h.diagonal()
+    for _ in range(sweeps):
+        largest = 0.0
+        for j in range(len(g)):
+            now = w[j] + d[j]
+            target = now - slope[j] / bend[j]
+            move = np.sign(target) * max(abs(target) - lam[j] / bend[j], 0.0) - now
+            if move:
+                d[j] += move
+                slope += move * h[j]
+                largest = max(largest, abs(move) * np.sqrt(bend[j]))
+        if largest <= 1e-12:
+            break
+    return d
+
+
 def descend(rows: Rows, lam: float, w: np.ndarray | None = None, b: float | None = None, tol: float = 1e-4, max_iter: int = 2000) -> tuple[np.ndarray, float]:
-    """Cyclic coordinate descent with soft-thresholded Newton steps; if a sweep doesn't improve, curvature bounds take over."""
+    """Coordinate descent on the loss's quadratic model, which is renewed after each step; steps are halved until the loss falls.
+
+    Only coordinates that are used or violate the optimality conditions take part, so the curvature matrix stays small.
+    Ends when the conditions hold to a hundredth of ``tol`` and a tenth of the penalty, or when nothing improves any more.
+    """
     x, y, share = rows.x, rows.y, rows.share
     w = np.zeros(x.shape[1]) if w is None else w.astype(np.float64).copy()
     b = rows.start() if b is None else float(b)
     z = x @ w + b
-    squares = (x * x).T @ share
-    safe, best = False, np.inf
+    value = float(share @ (np.logaddexp(0, z) - y * z)) + lam * float(np.abs(w).sum())
     for _ in range(max_iter):
-        largest = 0.0
-        for j in range(len(w)):
-            p = sigmoid(z)
-            column = x[:, j]
-            slope = float((share * (p - y)) @ column)
-            bend = 0.25 * squares[j] if safe else float((share * p * (1 - p)) @ (column * column))
-            bend = max(bend, _FLAT)
-            target = w[j] - slope / bend
-            new = np.sign(target) * max(abs(target) - lam / bend, 0.0)
-            if new != w[j]:
-                z += (new - w[j]) * column
-                largest = max(largest, abs(new - w[j]))
-                w[j] = new
         p = sigmoid(z)
-        slope = float(share @ (p - y))
-        step = slope / (0.25 if safe else max(float(share @ (p * (1 - p))), 1e-3))
-        b -= step
-        z -= step
-        value = float(share @ (np.logaddexp(0, z) - y * z)) + lam * float(np.abs(w).sum())
-        if value > best + 1e-12:
-            safe = True
-        best = min(best, value)
-        if largest <= tol and abs(slope) <= tol:
+        gap, curve = share * (p - y), share * p * (1 - p)
+        g, g0 = gap @ x, float(gap.sum())
+        off = np.where(w == 0, np.maximum(np.abs(g) - lam, 0), np.abs(g + lam * np.sign(w)))
+        if max(off.max(initial=0.0), abs(g0)) <= min(tol / 100, lam / 10):
+            break
+        live = np.flatnonzero((w != 0) | (off > 0))
+        design = np.column_stack([x[:, live], np.ones(len(y))])
+        h = design.T @ (curve[:, None] * design)
+        h[np.diag_indices_from(h)] += _FLAT + 1e-9 * h.diagonal()
+        slope, weights = np.append(g[live], g0), np.append(w[live], b)
+        penalty = np.append(np.full(len(live), lam), 0.0)
+        d = _quadratic(slope, h, weights, penalty)
+        promised = float(slope @ d + penalty @ (np.abs(weights + d) - np.abs(weights)))
+        if promised >= 0:
+            break
+        moved, t = design @ d, 1.0
+        for _ in range(60):
+            zt, wt = z + t * moved, weights + t * d
+            now = float(share @ (np.logaddexp(0, zt) - y * zt)) + lam * float(np.abs(wt[:-1]).sum())
+            if now <= value + 1e-4 * t * promised:
+                break
+            t /= 2
+        else:
             break
+        z, value = zt, now
+        w[live], b = wt[:-1], float(wt[-1])
     return w, b
 
 
