@@ -17,8 +17,11 @@ def j_of(y, pred):
     return youden((y & pred).sum(), (y & ~pred).sum(), (~y & ~pred).sum(), (~y & pred).sum())
 
 
-@pytest.mark.parametrize("intercept", ["mean", "mofk", "maxj", "else"])
-def test_against_rows(spark, intercept):
+@pytest.mark.parametrize("intercept", ["mean", "mofk", "maxj"])
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_against_rows(spark, monkeypatch, intercept, limit):
+    """With the histogram on the driver, and distributed."""
+    monkeypatch.setattr(polish, "HISTOGRAM_LIMIT", limit)
     x, y, df = frame(spark)
     coef, b = {"a": 0.7, "b": 0.9, "c": -0.2, "d": 0.0}, -0.1
     found = polish.polish(df.selectExpr("*", "0 AS d"), coef, b, "y", Policy(scale=3.0, intercept=intercept))
@@ -28,7 +31,7 @@ def test_against_rows(spark, intercept):
     assert d["J0"] == pytest.approx(j_of(truth, x @ [0.7, 0.9, -0.2] + b >= 0))
     for k in range(3):
         assert d["J_k"][k] == pytest.approx(j_of(truth, votes[:, k] + d["b_k"][k] >= 0))
-        if intercept in ("mean", "else"):
+        if intercept == "mean":
             assert np.mean(1 / (1 + np.exp(-votes[:, k] - d["b_k"][k]))) == pytest.approx(y.mean(), abs=1e-6)
         if intercept == "mofk":
             assert d["b_k"][k] == -3.0 * (k + 1 - 1)
@@ -70,3 +73,25 @@ def test_smoothing_and_valley():
     assert polish.first_valley([0.1, 0.5, 0.3, 0.6], 0.05, 0.5) == 3
     assert polish.first_valley([0.1, 0.2, 0.3, 0.4], 0.05, 0.6) == 3
     assert polish.first_valley([0.4], 0.05, 0.5) == 1
+
+
+@pytest.mark.parametrize("intercept", ["mean", "maxj"])
+def test_continuous_votes_distributed(spark, monkeypatch, intercept):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 2))
+    df = spark.createDataFrame([(float(a), float(b), int(a - b + e > 0)) for (a, b), e in zip(x, rng.normal(size=400), strict=True)], "a double, b double, y int")
+    both = []
+    for limit in (10**6, 10):
+        monkeypatch.setattr(polish, "HISTOGRAM_LIMIT", limit)
+        both.append(polish.polish(df, {"a": 1.0, "b": -0.9}, 0.0, "y", Policy(scale=2.0, intercept=intercept), [1.0]).diag)
+    for name in ("J_k", "b_k", "bestJ_vs_K"):
+        assert both[0][name] == pytest.approx(both[1][name], abs=1e-6)
+
+
+def test_policies_are_checked(spark):
+    _, _, df = frame(spark)
+    for bad in ({"intercept": "median"}, {"k_policy": "first"}):
+        with pytest.raises(ValueError):
+            polish.polish(df, {"a": 1.0}, 0.0, "y", Policy(**bad))
+    swept = polish.polish(df, {"a": 1.0, "b": 1.0}, 0.0, "y", Policy(), [1.0, 5.0])
+    assert [r.scale for r in swept.scales_table(spark).collect()] == [1.0, 5.0]

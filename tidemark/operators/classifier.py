@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +43,8 @@ class CriticalRangeClassifier(Learner):
         one_of("duplicate_mode", self.duplicate_mode, MODES)
         one_of("duplicate_expansion", self.duplicate_expansion, EXPANSIONS)
         one_of("logic_polish_stage", self.logic_polish_stage, ["expanded", "fit"])
+        policy = self._policy()
+        policy.check()
         ids = [c for c in (self.rowIdCol, self.foldCol) if c]
         names = list(self.featureCols) if self.featureCols else numeric_columns(df, [self.labelCol, *ids])
         excluded = set(map(str, self.exclude_features or ()))
@@ -71,22 +73,14 @@ class CriticalRangeClassifier(Learner):
                 solver=self.solver, tol=self.tol, max_iter=self.max_iter, random_state=self.random_state, cv_rule=self.cv_rule, zero_clamp=self.zero_clamp,
             ).fit(ready)
             if self.verbose:
-                log.info("chose C=%g of %s", logistic.C, logistic.Cs)
+                log.info("chose C=%g of %s by rule %s; mean losses by C: %s", logistic.C, logistic.Cs, self.cv_rule, logistic.mean_losses())
             full_scaler = None
             if scaler:
                 place = {r: i for i, r in enumerate(scaler.features)}
                 of = {m: place[c.rep] for c in consolidator.duplicate_classes for m in c.members}
                 full_scaler = StandardScalerModel(names, [scaler.mean[of[n]] for n in names], [scaler.scale[of[n]] for n in names])
             model = CriticalRangeModel(self.labelCol, rectifier, consolidator, scaler, full_scaler, logistic)
-            if self.logic_polish:
-                expanded = self.logic_polish_stage == "expanded"
-                frame = (full_scaler.transform(work) if full_scaler else work) if expanded else ready
-                coef = consolidator.expand(logistic.coef) if expanded else logistic.coef
-                found = polish.polish(frame, coef, logistic.intercept, self.labelCol, self._policy(), self.logic_Ks_plot or ())
-                model.diag = {"stage": self.logic_polish_stage, **found.diag}
-                if found.adopted:
-                    model.adopt(found.coef, found.intercept, expanded)
-            return model
+            return model.polished(work, policy, self.logic_polish_stage, self.logic_Ks_plot or ()) if self.logic_polish else model
         finally:
             work.unpersist()
 
@@ -111,6 +105,20 @@ class CriticalRangeModel(Fitted):
         else:
             self.coef_fit, self.coef = dict(coef), self.consolidator.expand(coef)
 
+    def polished(self, frame: DataFrame, policy: polish.Policy, stage: str = "expanded", scales: Sequence[float] = (), weight: str | None = None) -> CriticalRangeModel:
+        """This fit with a vote rule that is sought on ``frame``, which has the rectified features and the label."""
+        expanded = stage == "expanded"
+        ready = frame if expanded else self.consolidator.transform(frame)
+        scaler = self.full_scaler if expanded else self.scaler
+        coef = self.consolidator.expand(self.logistic.coef) if expanded else self.logistic.coef
+        found = polish.polish(scaler.transform(ready) if scaler else ready, coef, self.logistic.intercept, self.label, policy, scales, weight)
+        model = CriticalRangeModel(self.label, self.rectifier, self.consolidator, self.scaler, self.full_scaler, self.logistic)
+        model.diag = {"stage": stage, **found.diag}
+        log.info("polish: intercept %s, k by %s, J0 %s, chose k=%s with J %s, adopted %s", policy.intercept, policy.k_policy, *(found.diag.get(n) for n in ("J0", "k_chosen", "J_chosen", "adopted")))
+        if found.adopted:
+            model.adopt(found.coef, found.intercept, expanded)
+        return model
+
     @property
     def classes(self) -> list[int]:
         return [0, 1]
@@ -133,12 +141,12 @@ class CriticalRangeModel(Fitted):
         """The features that were fitted."""
         return self.consolidator.features
 
-    def probability(self) -> Column:
-        """The positive class's probability as an expression over the input columns."""
+    def probability(self, raw: bool = True) -> Column:
+        """The positive class's probability as an expression over the input columns, or over the rectified ones."""
         weights, b = (self.rule, self.rule_intercept) if self.rule is not None else (self.coef_fit, self.intercept)
         scaler = self.full_scaler if self.rule is not None else self.scaler
         terms = {n: w for n, w in weights.items() if w}
-        columns = dict(zip(self.rectifier.output_features, self.rectifier.columns(), strict=True)) if self.rectifier else {}
+        columns = dict(zip(self.rectifier.output_features, self.rectifier.columns(), strict=True)) if self.rectifier and raw else {}
         score = F.lit(float(b))
         for n, w in terms.items():
             x = columns.get(n, quoted(n)).cast("double")

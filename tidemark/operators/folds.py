@@ -60,8 +60,15 @@ def exact_folds(df: DataFrame, row_id: str, k: int, seed: int, out: str = "fold"
     return ranked(df, row_id, "__rank").join(table, "__rank").withColumn(out, F.col(out).cast("int")).drop("__rank")
 
 
-def train_test_split(df: DataFrame, key: str, frac: float, seed: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Two tables, the first of exactly floor(frac * n) rows: those of lowest seeded hash of the key, or lowest key without a seed."""
+def split_column(df: DataFrame, key: str, frac: float, seed: int | None = None, out: str = "train") -> DataFrame:
+    """``df`` with whether a row is in the first part: exactly floor(frac * n) rows, those of lowest seeded hash of the key,
+    or of lowest key without a seed."""
     cut = math.floor(frac * df.count())
     ranks = ranked(df, key, "__rank") if seed is None else ranked(_shuffled(df, [key], seed), "__hash", "__rank", [key]).drop("__hash")
-    return ranks.filter(F.col("__rank") < cut).drop("__rank"), ranks.filter(F.col("__rank") >= cut).drop("__rank")
+    return ranks.withColumn(out, F.col("__rank") < cut).drop("__rank")
+
+
+def train_test_split(df: DataFrame, key: str, frac: float, seed: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The two parts of :func:`split_column` as tables."""
+    both = split_column(df, key, frac, seed, "__first")
+    return both.filter("__first").drop("__first"), both.filter("not __first").drop("__first")

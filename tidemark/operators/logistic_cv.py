@@ -185,6 +185,10 @@ class L1LogisticModel(Fitted):
         rows = [(r["fold"], r["path_pos"], r["C"], r["loss"]) for r in self.losses]
         return spark.createDataFrame(rows, "fold int, path_pos int, C double, val_loss double")
 
+    def mean_losses(self) -> dict[float, float]:
+        """The mean validation loss of each C."""
+        return {c: float(np.mean([r["loss"] for r in self.losses if r["path_pos"] == i])) for i, c in enumerate(self.Cs)} if self.losses else {}
+
     def _transform(self, df: DataFrame) -> DataFrame:
         return scored(df, self.coef, self.intercept)
 

@@ -14,15 +14,21 @@ def youden(tp: float, fn: float, tn: float, fp: float) -> float:
     return (tp / (tp + fn) if tp + fn else 0.0) + (tn / (tn + fp) if tn + fp else 0.0) - 1.0
 
 
-def confusion(df: DataFrame, label: str, pred: Column | str) -> DataFrame:
+def weighed(weight: str | None) -> Column:
+    """How many rows a row stands for: the column ``weight``, or one."""
+    return F.lit(1).cast("long") if weight is None else quoted(weight).cast("long")
+
+
+def confusion(df: DataFrame, label: str, pred: Column | str, weight: str | None = None) -> DataFrame:
     """One row (tp, fn, tn, fp)."""
     y, p = positive(quoted(label)), positive(quoted(pred) if isinstance(pred, str) else pred)
-    return df.agg(F.count_if(y & p).alias("tp"), F.count_if(y & ~p).alias("fn"), F.count_if(~y & ~p).alias("tn"), F.count_if(~y & p).alias("fp"))
+    total = lambda hit: F.coalesce(F.sum(F.when(hit, weighed(weight))), F.lit(0))
+    return df.agg(total(y & p).alias("tp"), total(y & ~p).alias("fn"), total(~y & ~p).alias("tn"), total(~y & p).alias("fp"))
 
 
-def youden_j(df: DataFrame, label: str, pred: Column | str) -> float:
+def youden_j(df: DataFrame, label: str, pred: Column | str, weight: str | None = None) -> float:
     """J of predictions."""
-    return youden(*confusion(df, label, pred).first())
+    return youden(*confusion(df, label, pred, weight).first())
 
 
 def youden_table(df: DataFrame, label: str, pred: Column | str) -> DataFrame:
@@ -31,13 +37,14 @@ def youden_table(df: DataFrame, label: str, pred: Column | str) -> DataFrame:
     return confusion(df, label, pred).withColumn("j", rate("tp", "fn") + rate("tn", "fp") - 1)
 
 
-def roc_auc_table(df: DataFrame, label: str, score: str) -> DataFrame:
+def roc_auc_table(df: DataFrame, label: str, score: str, weight: str | None = None) -> DataFrame:
     """One row (auc, positives, negatives); auc is NULL unless both classes occur. Ties count half.
 
     The score histogram is summed first, so the running sums see every score once.
     """
-    rows = df.select(quoted(label).cast("double").alias("y"), quoted(score).cast("double").alias("s"))
-    hist = rows.groupBy("s").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).alias("n"))
+    rows = df.select(quoted(label).cast("double").alias("y"), quoted(score).cast("double").alias("s"), weighed(weight).alias("w"))
+    total = lambda y: F.sum(F.when(F.col("y") == y, F.col("w")).otherwise(0))
+    hist = rows.groupBy("s").agg(total(1).alias("p"), total(0).alias("n"))
     below = running(hist.filter("s is not null"), "s", {"n_upto": F.col("n")})
     area = F.sum(F.col("p") * (F.col("n_upto") - F.col("n") / 2))
     total = below.agg(area.alias("area"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
