@@ -4,15 +4,17 @@ Vectors and queries are dealt into blocks of bounded size by hash. Each vector b
 query block by another, and every pair of blocks is one group of work: its two trees are searched together. A pair of
 nodes is pruned if no inner product between their points can beat the worst k-th score in the query node. With centres
 q and p, covering radii s and r, the bound is <q, p> + |q| r + |p| s + s r. Partial results of the vector blocks are
-merged by score, ties to the smaller id. All scores are exact integers.
+merged by score, ties to the smaller id.
 
-Components x become floor(256 x), x as double. The search is exact for vectors whose components stay below 2**20 after
-that, far beyond which float64 products would round; larger ones raise ValueError.
+Components x become floor(256 x), x as double, and scores are exact integers: float64 products are, as long as no sum can
+reach 2**53; blocks with larger components use 80-bit numbers, exact up to 2**64. A score beyond the range of a long
+becomes the nearest long.
 
 Edge cases: a vector or id that is null, a vector with a null or non-finite component, or without components, takes no
-part; lengths must agree, else ValueError; equal scores go to the smaller vec_id; an own row is no candidate, by vec_id;
-queries with fewer than k candidates get all; of rows that share a vec_id, the one with the first vector in order
-counts; an empty table gives an empty table.
+part; vectors of different lengths have no inner product, so only those of one length meet; equal scores go to the
+smaller vec_id; every row but the query's own is a candidate, so rows that share a vec_id are candidates, and queries, of
+their own, and a repeated row finds its copy; queries with fewer than k candidates get all; other columns are ignored;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,28 +30,33 @@ from tidemark.llm.common import bounded
 
 #: Vectors and queries in a block, and points in a leaf.
 VECTOR_BLOCK, QUERY_BLOCK, LEAF = 16_384, 32_768, 128
-_LIMIT = 1 << 20
+_EXACT = 1 << 53
 
 
 class CoverTree:
-    """A cover tree over integer vectors; a node's radius covers all its points, and children halve it level by level.
+    """A cover tree over integer vectors whose scales follow the data.
 
-    Nodes are arrays: centre, radius, norm of the centre, first and last point in ``order``, and children.
+    Nesting: a node's centre is the centre of its first child. Covering: every point of a node lies within the node's
+    scale of the centre of its child, the nearest one. Separation: the children's centres are at least that scale apart.
+    The scale is where farthest-first centres end: at half the node's radius, or at as many centres as halve the leaves.
+    Nodes are arrays: centre, radius, scale, norm of the centre, first and last point in ``order``, and children.
     """
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
         self.points, self.order = points, np.arange(len(points))
         self.centre: list[int] = []
         self.radius: list[float] = []
+        self.scale: list[float] = []
         self.span: list[tuple[int, int]] = []
         self.children: list[list[int]] = []
         self._build(leaf)
         self.centres = points[self.centre]
-        self.norms = np.sqrt((self.centres**2).sum(axis=1))
+        self.norms = np.sqrt((self.centres**2).sum(axis=1)).astype(np.float64)
 
     def _node(self, a: int, b: int, centre: int, radius: float) -> int:
         self.centre.append(centre)
         self.radius.append(radius)
+        self.scale.append(0.0)
         self.span.append((a, b))
         self.children.append([])
         return len(self.centre) - 1
@@ -64,11 +71,10 @@ class CoverTree:
             radius = self.radius[node]
             if b - a <= leaf or radius == 0:
                 continue
-            # Cover the node's points greedily by balls of half the radius; the node's own centre comes first.
+            # Farthest-first: each next centre is the point that is farthest from all, so none is nearer than the scale.
             mine, near = order[a:b].copy(), radius / 2
             owner, nearest = np.full(b - a, -1), np.full(b - a, np.inf)
             centres: list[int] = []
-            # Enough centres to fill leaves by half; a ball that stays larger than half the radius keeps its true radius.
             most = max(2, min(64, 2 * (b - a) // leaf))
             start = int(np.argmin(gap))
             while True:
@@ -79,6 +85,7 @@ class CoverTree:
                 start = int(np.argmax(nearest))
                 if nearest[start] <= near or len(centres) >= most:
                     break
+            self.scale[node] = float(nearest.max())
             sort = np.argsort(owner, kind="stable")
             order[a:b] = mine[sort]
             nearest, counts = nearest[sort], np.bincount(owner, minlength=len(centres))
@@ -92,9 +99,12 @@ class CoverTree:
                     at += n
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best ids and scores for each query, by score and then id; missing ones have score -inf."""
-    best_score = np.full((len(queries), k), -np.inf)
+def search(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best ids and scores for each query, by score and then id; missing ones have score -inf.
+
+    ``own`` has the place of each query among the vectors, or -1.
+    """
+    best_score = np.full((len(queries), k), -np.inf, queries.dtype)
     best_id = np.full((len(queries), k), np.iinfo(np.int64).max)
     if not len(queries) or not len(vectors):
         return best_id, best_score
@@ -109,7 +119,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids:
     def base(a: int, b: int) -> None:
         rows, cols = q.order[slice(*q.span[a])], v.order[slice(*v.span[b])]
         scores = queries[rows] @ vectors[cols].T
-        scores[query_ids[rows][:, None] == ids[cols][None]] = -np.inf
+        scores[own[rows][:, None] == cols[None]] = -np.inf
         score = np.concatenate([best_score[rows], scores], axis=1)
         name = np.concatenate([best_id[rows], np.broadcast_to(ids[cols], scores.shape)], axis=1)
         first = np.lexsort((name, -score), axis=1)[:, :k]
@@ -140,30 +150,42 @@ def quantised(embedding: Column) -> Column:
     return F.when(sound & (F.size(embedding) > 0), F.transform(doubles, lambda x: F.floor(256 * x)))
 
 
+def _numbers(v: pd.Series) -> np.ndarray:
+    """Vectors of one length as a matrix in which products are exact."""
+    longs = np.array(v.tolist(), np.int64)
+    most = float(np.abs(longs.astype(np.float64)).max())
+    return longs.astype(np.float64 if longs.shape[1] * most * most < _EXACT else np.longdouble)
+
+
+def _found(rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The best k of a block of vectors for each query of a block."""
+    rows = rows.sort_values("asks", kind="stable")
+    asks, ids = rows["asks"].to_numpy(bool), rows["vec_id"].to_numpy(np.int64)
+    values = _numbers(rows["v"])
+    # Rows that are equal in id and vector are told apart by a number, the same in every pair of blocks.
+    nth = rows.assign(key=rows["v"].map(tuple)).groupby(["asks", "vec_id", "key"]).cumcount().to_numpy()
+    keys = list(zip(ids.tolist(), rows["h"].tolist(), nth.tolist(), strict=True))
+    n = int((~asks).sum())
+    place = {key: i for i, key in enumerate(keys[:n])}
+    own = np.array([place.get(key, -1) for key in keys[n:]], np.int64)
+    found, scores = search(values[asks], own, values[~asks], ids[~asks], k)
+    r, c = np.nonzero(np.isfinite(scores))
+    top = np.iinfo(np.int64)
+    score = np.clip(scores[r, c], values.dtype.type(top.min), values.dtype.type(top.max)) if values.dtype != np.float64 else scores[r, c]
+    return pd.DataFrame({"query_id": ids[asks][r], "h": rows["h"].to_numpy(np.int64)[asks][r], "nth": nth[asks][r], "vec_id": found[r, c], "score": score.astype(np.int64)})
+
+
 def top_k(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
     """For each row of ``vectors`` (vec_id, embedding) where ``queries`` holds: query_id, rank, vec_id, score."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding")).alias("v"), queries.alias("asks")).filter("vec_id is not null and v is not null")
+    rows = rows.withColumn("h", F.xxhash64("v")).withColumn("size", F.size("v"))
     n_rows, n_queries = rows.agg(F.count(F.lit(1)), F.count_if("asks")).first()
     v_blocks, q_blocks = -(-n_rows // VECTOR_BLOCK) or 1, -(-n_queries // QUERY_BLOCK) or 1
-    place = F.xxhash64("vec_id")
+    place = F.xxhash64("vec_id", "h")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = rows.filter("asks").select(F.lit(True).alias("asks"), "vec_id", "v", F.pmod(place, F.lit(q_blocks)).alias("q"), every(v_blocks).alias("b"))
-    held = rows.select(F.lit(False).alias("asks"), "vec_id", "v", every(q_blocks).alias("q"), F.pmod(place, F.lit(v_blocks)).alias("b"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf.duplicated(["asks", "vec_id"]).any():
-            pdf = pdf.assign(t=pdf["v"].map(tuple)).sort_values(["vec_id", "t"]).drop_duplicates(["asks", "vec_id"])
-        lengths = pdf["v"].str.len()
-        if lengths.nunique() > 1:
-            raise ValueError("vectors of different lengths")
-        values = np.array(pdf["v"].tolist(), np.float64)
-        if np.abs(values).max() >= _LIMIT:
-            raise ValueError("a component is too large for exact scores")
-        asks, ids = pdf["asks"].to_numpy(bool), pdf["vec_id"].to_numpy(np.int64)
-        found, scores = search(values[asks], ids[asks], values[~asks], ids[~asks], k)
-        r, c = np.nonzero(np.isfinite(scores))
-        return pd.DataFrame({"query_id": ids[asks][r], "vec_id": found[r, c], "score": scores[r, c].astype(np.int64)})
-
-    parts = bounded(asked.unionByName(held)).repartition(q_blocks * v_blocks, "q", "b").groupBy("q", "b").applyInPandas(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
+    asked = rows.filter("asks").select(F.lit(True).alias("asks"), "vec_id", "v", "h", "size", F.pmod(place, F.lit(q_blocks)).alias("q"), every(v_blocks).alias("b"))
+    held = rows.select(F.lit(False).alias("asks"), "vec_id", "v", "h", "size", every(q_blocks).alias("q"), F.pmod(place, F.lit(v_blocks)).alias("b"))
+    pairs = bounded(asked.unionByName(held)).repartition(q_blocks * v_blocks, "size", "q", "b").groupBy("size", "q", "b")
+    parts = pairs.applyInPandas(lambda pdf: _found(pdf, k), "query_id long, h long, nth long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "h", "nth").orderBy(F.desc("score"), "vec_id")).cast("int")
     return parts.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
