@@ -45,3 +45,32 @@ def test_columns_pass_through(spark):
     out = L.predict(df, L.learn(df))
     assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score"]
     assert {r.lang_pred for r in L.predict(df, {}).collect()} == {"und"}
+
+
+def brute_identify(rows):
+    """Prototypes and predictions by plain sums over all trigrams of all texts."""
+    import zlib
+
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 0
+    vector = lambda t: None if L.profile(t) is None else sum(int(n) * L.bound(np.array([g]))[0].astype(np.int64) for g, n in zip(*L.profile(t), strict=True))
+    sums = {}
+    for i, t, lang, _ in rows:
+        if lang is not None and not held(i) and (v := vector(t)) is not None:
+            sums[lang] = sums.get(lang, 0) + v
+    out = []
+    for i, t, _, _ in rows:
+        v = vector(t)
+        cosines = {} if v is None else {n: float(s @ v / np.linalg.norm(s) / np.linalg.norm(v)) for n, s in sorted(sums.items())}
+        best = max(cosines, key=cosines.get) if cosines else "und"
+        out.append((-1 if i is None else i, held(i), best, round(max(0.0, cosines.get(best, 0.0)), 6)))
+    return sorted(out)
+
+
+def test_like_brute_force(spark, monkeypatch):
+    """Also if a worker lets its counts go before its rows end."""
+    data = rows()[:90] + [(900, None, "en", "x"), (902, "12 -", None, "x"), (None, "the house", "en", "x"), (3, rows()[3][1], "de", "x")]
+    df = spark.createDataFrame(data, SCHEMA)
+    for most in (64, 1):
+        monkeypatch.setattr(L, "_OPEN", most)
+        got = sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.lang_pred, round(r.score, 6)) for r in L.identify(df).collect())
+        assert got == brute_identify(data)

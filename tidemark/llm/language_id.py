@@ -3,8 +3,8 @@
 Each of 48 letter slots has a random vector of +1 and -1. A letter trigram is bound as the product of its letters'
 vectors, permuted by their place (rolled by two, one and no places); a text's vector is the bundle (sum) of its
 trigrams' vectors. A language's prototype is the bundle of all its training texts, over the whole table: every Spark
-partition bundles its own rows, and the sums per language and dimension come to the driver, a number of values for each
-language that doesn't depend on the rows. A text gets the language whose prototype has the highest cosine with its
+partition bundles its own rows, these sums are added up by language and dimension, and the totals come to the driver:
+DIMENSIONS values for each language, whatever the rows. A text gets the language whose prototype has the highest cosine with its
 vector.
 
 Letters are folded to lower case; a-z have slots of their own, other letters share 21 slots by code point, and every
@@ -12,7 +12,8 @@ run of anything else is one boundary, as are both ends of a text.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0, as is every text if nothing was learned; null
 languages aren't learned; equal cosines go to the language first in order; repeated rows count again in training; an
-empty table gives an empty table. More than MAX_LANGUAGES learned languages raise ValueError.
+empty table gives an empty table; long texts are read whole. A label that isn't a language, such as an id, would learn
+without bound, so more than MAX_LANGUAGES learned languages raise ValueError; memory is bounded until then.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from tidemark.llm.common import bounded, chunks
 DIMENSIONS, SLOTS, SEED = 1024, 48, 20
 MAX_LANGUAGES = 2000
 UNKNOWN = "und"
-#: Trigram vectors that are bundled at once.
-_BLOCK = 512
+#: Trigram vectors that are bundled at once; languages of which a worker holds counts, 0.9 MB each.
+_BLOCK, _OPEN = 512, 64
 
 
 @lru_cache(maxsize=1)
@@ -93,6 +94,15 @@ def bundle(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
     """Prototypes of the languages of all rows whose language isn't null."""
 
+    def bundled(counts: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for name, c in counts.items():
+            grams = np.flatnonzero(c)
+            # Integers, so the order of addition doesn't matter.
+            sums = np.zeros(DIMENSIONS, np.int64)
+            for k in range(0, len(grams), _BLOCK):
+                sums += c[grams[k : k + _BLOCK]] @ bound(grams[k : k + _BLOCK]).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"lang": [name] * DIMENSIONS, "dimension": pa.array(range(DIMENSIONS), pa.int32()), "value": sums})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for part in chunks(batches, "text"):
@@ -101,22 +111,16 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
                     if name not in counts:
                         counts[name] = np.zeros(SLOTS**3, np.int64)
                     counts[name][p[0]] += p[1]
-        for name, c in counts.items():
-            grams = np.flatnonzero(c)
-            # Counts of a partition are far below 2**53 / DIMENSIONS, so these sums are exact integers.
-            sums = np.zeros(DIMENSIONS, np.int64)
-            for k in range(0, len(grams), _BLOCK):
-                sums += c[grams[k : k + _BLOCK]] @ bound(grams[k : k + _BLOCK]).astype(np.int64)
-            yield pa.RecordBatch.from_pydict({"lang": [name] * DIMENSIONS, "dimension": pa.array(range(DIMENSIONS), pa.int32()), "value": sums})
+                    if len(counts) > _OPEN:
+                        yield from bundled(counts)
+                        counts.clear()
+        yield from bundled(counts)
 
     labelled = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang is not null and text is not null")
-    sums = bounded(labelled).mapInArrow(run, "lang string, dimension int, value long").groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("dimension", "value"))).alias("parts"))
+    sums = bounded(labelled).mapInArrow(run, "lang string, dimension int, value long").groupBy("lang", "dimension").agg(F.sum("value").alias("value"))
     found: dict[str, np.ndarray] = {}
-    for row in sums.limit(MAX_LANGUAGES + 1).collect():
-        vector = np.zeros(DIMENSIONS)
-        for dimension, value in row.parts:
-            vector[dimension] += value
-        found[row.lang] = vector
+    for name, dimension, value in sums.limit((MAX_LANGUAGES + 1) * DIMENSIONS).collect():
+        found.setdefault(name, np.zeros(DIMENSIONS))[dimension] = value
     if len(found) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     return found
