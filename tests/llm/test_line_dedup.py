@@ -22,3 +22,12 @@ def test_lines(spark, monkeypatch, most):
     whole = D.drop_boilerplate(df)
     assert whole.select("row.*").columns == df.columns
     assert D.line_report(df.limit(0)).count() == 0
+
+
+def test_long_texts_and_ties(spark):
+    """A share at the ratio itself stays; a long text is handled whole."""
+    long = "\n".join(f"line {i}" for i in range(60_000)) + "\nfooter"
+    texts = [long, *(f"page {i}\nfooter\nsome" for i in range(9)), *(f"page {i}\nsome" for i in range(9, 19)), *(f"other {i}" for i in range(81))]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    out = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in D.line_report(df, percent=10, least_pages=3).collect()}
+    assert out[0] == (60_001, 0, long) and out[3] == (3, 1, "page 2\nfooter")

@@ -10,7 +10,8 @@ number, which is counted first, is at most BROADCAST_LINES over all hosts; else
 
 Edge cases: a null text stays null and counts as a page without lines; lines without a visible character are neither
 counted nor dropped; pages with a null host are left as they are; a text whose lines all go becomes empty and its row
-stays; repeated rows are pages of their own; all other columns pass through; an empty table gives an empty table.
+stays; long texts are handled whole; repeated rows are pages of their own; all other columns pass through, whatever
+their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def boilerplate(docs: DataFrame, host: str, text: str, percent: float, least_pag
     return often.join(totals, "host").filter(100 * F.col("n") > percent * F.col("pages")).groupBy("host").agg(F.collect_list("line").alias("gone"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", percent: float = 10, least_pages: int = 3) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", percent: float = 2, least_pages: int = 5) -> DataFrame:
     """Every row of ``docs`` without its boilerplate lines as the struct ``row``, with n_lines and n_dropped."""
     found = checkpointed(boilerplate(docs, host, text, percent, least_pages))
     total = found.agg(F.sum(F.size("gone"))).first()[0] or 0
@@ -60,7 +61,7 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     )
 
 
-def line_report(docs: DataFrame, host: str = "source", percent: float = 10, least_pages: int = 3) -> DataFrame:
+def line_report(docs: DataFrame, host: str = "source", percent: float = 2, least_pages: int = 5) -> DataFrame:
     """Per document: doc_id, n_lines, n_dropped and the text that is left."""
     out = drop_boilerplate(docs.select("doc_id", host, "text"), host, "text", percent, least_pages)
     return out.select("row.doc_id", "n_lines", "n_dropped", "row.text")

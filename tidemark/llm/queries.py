@@ -44,8 +44,8 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the lines that over a tenth of their source's documents share."""
-    return line_dedup.line_report(table(spark, sf_dir, "documents"), percent=10, least_pages=3)
+    """All documents without the lines that over a fiftieth of their source's documents share."""
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,10 +165,12 @@ _NEAR_DEDUP_SQL = r"""
 
 _COVER_TREE_SQL = """
     WITH v AS (
-        SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+        SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
         WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
-    s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
-    r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+    s AS (
+        SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+        FROM v q JOIN v c ON q.rid <> c.rid AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+    r AS (SELECT query_id, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
     SELECT * FROM r WHERE rank <= 5"""
 
 _LINE_DEDUP_SQL = """
@@ -177,8 +179,8 @@ _LINE_DEDUP_SQL = """
         SELECT rid, doc_id, source, n, line, trim(line, ' ' || chr(9) || chr(13)) AS k FROM (
             SELECT rid, doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM d)),
     totals AS (SELECT source, count(*) AS pages FROM d GROUP BY source),
-    often AS (SELECT source, k, count(DISTINCT rid) AS n FROM lines WHERE k <> '' AND source IS NOT NULL GROUP BY ALL HAVING count(DISTINCT rid) >= 3),
-    gone AS (SELECT source, k, true AS drop FROM often JOIN totals USING (source) WHERE 100 * n > 10 * pages),
+    often AS (SELECT source, k, count(DISTINCT rid) AS n FROM lines WHERE k <> '' AND source IS NOT NULL GROUP BY ALL HAVING count(DISTINCT rid) >= 5),
+    gone AS (SELECT source, k, true AS drop FROM often JOIN totals USING (source) WHERE 100 * n > 2 * pages),
     marked AS (SELECT lines.*, coalesce(drop, false) AS drop FROM lines LEFT JOIN gone USING (source, k))
     SELECT d.doc_id, count(m.rid) AS n_lines, count(m.rid) FILTER (m.drop) AS n_dropped,
         CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(m.line, chr(10) ORDER BY m.n) FILTER (NOT m.drop), '') END AS text
