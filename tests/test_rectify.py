@@ -1,7 +1,9 @@
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import rectify
+from tidemark.operators import quantiles, rectify
 from tidemark.operators.rectify import Rectifier
 
 NAN = float("nan")
@@ -64,12 +66,11 @@ def test_quantiles(spark):
 
 
 @pytest.mark.parametrize("params", [{}, {"quantile_bounds": (0.2, 0.7)}, {"sdfilter": None, "snap": 0.2}])
-def test_long_form_agrees(spark, monkeypatch, params):
+def test_long_form_agrees(spark, params):
     df = spark.range(300).select(*((F.rand(i) * 10).alias(f"f{i}") for i in range(7)), F.lit(None).cast("double").alias("g"), (F.rand(99) > 0.6).cast("int").alias("y"))
     names = df.columns[:-1]
     wide = Rectifier(labelCol="y", featureCols=names, **params).fit(df).limits
-    monkeypatch.setattr(rectify, "WIDE", 2)
-    long = Rectifier(labelCol="y", featureCols=names, **params).fit(df).limits
+    long = Rectifier(labelCol="y", featureCols=names, wide=2, **params).fit(df).limits
     assert [(v.feature, v.group) for v in wide] == [(v.feature, v.group) for v in long]
     for a, b in zip(wide, long, strict=True):
         assert (a.lo, a.hi) == (pytest.approx(b.lo), pytest.approx(b.hi))
@@ -83,3 +84,21 @@ def test_columns_and_names(spark):
         model.transform(df.drop("`a.b`").select("b2"))
     with pytest.raises(ValueError):
         Rectifier(labelCol="y", featureCols=["p", "P"]).fit(spark.createDataFrame([(1.0, 1)], "p double, y int"))
+
+
+@pytest.mark.parametrize("wide", [500, 1])
+@pytest.mark.parametrize("small", [3, 40, 10**6])
+def test_quantiles_like_numpy(spark, monkeypatch, wide, small):
+    """Narrowed down in rounds or read off at once; with ties, gaps and few values."""
+    monkeypatch.setattr(quantiles, "SMALL", small)
+    rng = np.random.default_rng(small)
+    n = 700
+    columns = [rng.normal(size=n), rng.integers(0, 4, n), np.exp(rng.normal(size=n) * 40), np.full(n, 7.0), np.where(rng.random(n) < 0.6, 0.0, rng.normal(size=n)), np.arange(n) * 1.0]
+    columns[5][3:] = np.nan
+    frame = pd.DataFrame({f"f{i}": c for i, c in enumerate(columns)} | {"g": np.full(n, np.nan), "y": 1})
+    df = spark.createDataFrame(frame)
+    for a, b in ((0.0, 1.0), (0.1, 0.85), (0.499, 0.5)):
+        model = Rectifier(labelCol="y", featureCols=list(frame.columns[:-1]), wide=wide, sdfilter=None, snap=None, quantile_bounds=(a, b)).fit(df)
+        for i, c in enumerate(columns):
+            assert limit(model, i) == pytest.approx((np.nanquantile(c, a), np.nanquantile(c, b)))
+        assert limit(model, 6) == (None, None)

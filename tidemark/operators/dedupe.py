@@ -1,7 +1,7 @@
 """Duplicate columns: find columns that are equal in every row, keep one of each class, and spread coefficients back.
 
-Each column gets a fingerprint in one aggregate: sums of hashes of its value with a hash of the whole row, so equal
-columns have equal fingerprints and no row id is needed. Columns that share one are then compared value by value.
+Each column gets a fingerprint in one aggregate: a sum and an exclusive or of hashes of its value with a hash of the whole
+row, so equal columns have equal fingerprints and no row id is needed. Columns that share one are then compared value by value.
 """
 
 from __future__ import annotations
@@ -36,9 +36,9 @@ def equal_columns(df: DataFrame, names: Sequence[str]) -> list[list[str]]:
         return []
     values = {n: clean(quoted(n)) for n in names}
     row = F.xxhash64(*values.values())
-    low = F.lit((1 << 31) - 1)
-    # Sums of 31-bit numbers can't overflow below 2**32 rows.
-    prints = [F.sum(F.xxhash64(row, F.lit(seed), values[n]).bitwiseAND(low)) for n in names for seed in (1, 2)]
+    # Sums of 16-bit numbers don't overflow below 2**47 rows.
+    hashed = lambda n, seed: F.xxhash64(row, F.lit(seed), values[n])
+    prints = [p for n in names for p in (F.sum(hashed(n, 1).bitwiseAND(F.lit(0xFFFF))), F.bit_xor(hashed(n, 2)))]
     found = df.agg(*(p.alias(f"c{i}") for i, p in enumerate(prints))).first()
     buckets: dict[tuple, list[str]] = {}
     for i, n in enumerate(names):

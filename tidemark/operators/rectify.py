@@ -1,7 +1,7 @@
 """Critical ranges: learn [lo, hi] of each feature from the positive class, then mark values inside with +1, outside with -1.
 
-Learning takes three aggregates of one row each: mean and deviation of the positives, the extremes (or quantiles) of the
-positives inside the deviation band, and the rows beyond each bound. Applying it is a projection without a shuffle.
+Learning takes three aggregates of one row each: mean and deviation of the positives, the extremes of the positives inside
+the deviation band (for quantiles, a few more), and the rows beyond each bound. Applying it is a projection without a shuffle.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import naming
 from tidemark.functions.expr import clean, positive, quoted
 from tidemark.operators.base import Fitted, Learner, numeric_columns, require
+from tidemark.operators.quantiles import exact_quantiles
 
 #: With more features than this, statistics are grouped by feature in long form instead of wide aggregates.
 WIDE = 500
@@ -32,10 +33,13 @@ class Limit:
     hi: float | None
 
 
-def _each(df: DataFrame, features: Sequence[str], label: str, build: Callable[[Column, Column, int | None], dict[str, Column]], tables: Mapping[str, Sequence] | None = None) -> list[dict]:
+def _each(
+    df: DataFrame, features: Sequence[str], label: str, build: Callable[[Column, Column, int | None], dict[str, Column]],
+    tables: Mapping[str, Sequence] | None = None, wide: int | None = None,
+) -> list[dict]:
     """The aggregates that ``build`` makes of (value, is positive, index), for every feature in one pass."""
     y = positive(quoted(label))
-    if len(features) <= WIDE:
+    if len(features) <= (WIDE if wide is None else wide):
         wanted = [(i, name, e) for i, f in enumerate(features) for name, e in build(clean(quoted(f)), y, i).items()]
         row = df.agg(*(e.alias(f"c{k}") for k, (_, _, e) in enumerate(wanted))).first()
         out: list[dict] = [{} for _ in features]
@@ -60,35 +64,42 @@ def learn_limits(
     sdfilter: float | None = 3.0,
     snap: float | None = 0.001,
     quantile_bounds: tuple[float, float] | None = None,
+    wide: int | None = None,
 ) -> list[Limit]:
-    """Limits of the features, in order. Deviations are of the population; the band is strict on both sides."""
+    """Limits of the features, in order. Deviations are of the population; the band is strict on both sides.
+
+    With more than ``wide`` features (by default WIDE), statistics are grouped in long form.
+    """
     if quantile_bounds is not None and not 0 <= quantile_bounds[0] < quantile_bounds[1] <= 1:
         raise ValueError("quantile_bounds must rise within [0, 1]")
     low = high = [None] * len(features)
     if sdfilter is not None:
-        stats = _each(df, features, label, lambda x, y, i: {"m": F.avg(F.when(y, x)), "s": F.stddev_pop(F.when(y, x))})
+        stats = _each(df, features, label, lambda x, y, i: {"m": F.avg(F.when(y, x)), "s": F.stddev_pop(F.when(y, x))}, None, wide)
         band = [(None, None) if s.get("m") is None else (s["m"] - sdfilter * s["s"], s["m"] + sdfilter * s["s"]) for s in stats]
         low, high = [b[0] for b in band], [b[1] for b in band]
 
-    def bounds(x: Column, y: Column, i: int | None) -> dict[str, Column]:
+    def inside(x: Column, y: Column, i: int | None) -> Column:
         if sdfilter is not None:
             least, most = (F.col("low"), F.col("high")) if i is None else (F.lit(low[i]).cast("double"), F.lit(high[i]).cast("double"))
             # With an undefined deviation, the lower test alone is false, since NaN is above everything.
             y = y & (x > least) & (x < most)
-        x = F.when(y, x)
-        if quantile_bounds is None:
-            return {"lo": F.min(x), "hi": F.max(x)}
-        return {"lo": F.percentile(x, quantile_bounds[0]), "hi": F.percentile(x, quantile_bounds[1])}
-
-    found = _each(df, features, label, bounds, {"low": low, "high": high})
-    lo, hi = [f.get("lo") for f in found], [f.get("hi") for f in found]
+        return F.when(y, x)
+
+    band_tables = {"low": low, "high": high}
+    if quantile_bounds is None:
+        found = _each(df, features, label, lambda x, y, i: {"lo": F.min(inside(x, y, i)), "hi": F.max(inside(x, y, i))}, band_tables, wide)
+        lo, hi = [f.get("lo") for f in found], [f.get("hi") for f in found]
+    else:
+        each = lambda build, tables: _each(df, features, label, build, {**band_tables, **tables}, wide)
+        found = exact_quantiles(each, inside, quantile_bounds)
+        lo, hi = [f[0] for f in found], [f[1] for f in found]
     if snap is not None and snap > 0:
 
         def tails(x: Column, y: Column, i: int | None) -> dict[str, Column]:
             a, b = (F.col("lo"), F.col("hi")) if i is None else (F.lit(lo[i]).cast("double"), F.lit(hi[i]).cast("double"))
             return {"below": F.count_if(x < a), "above": F.count_if(x > b), "n": F.count(F.lit(1))}
 
-        counts = _each(df, features, label, tails, {"lo": lo, "hi": hi})
+        counts = _each(df, features, label, tails, {"lo": lo, "hi": hi}, wide)
         for i, c in enumerate(counts):
             least = max(1, math.floor(snap * c.get("n", 0)))
             lo[i] = lo[i] if c.get("below", 0) >= least else None
@@ -117,7 +128,7 @@ class Rectifier(Learner):
 
     PARAMS = {
         "labelCol": "label", "featureCols": None, "idCols": (), "groups": None, "sdfilter": 3.0, "snap": 0.001, "quantile_bounds": None,
-        "add_complements": False, "complement_prefix": "n", "exclude_features": (),
+        "add_complements": False, "complement_prefix": "n", "exclude_features": (), "wide": WIDE,
     }
 
     def _fit(self, df: DataFrame) -> RectifierModel:
@@ -127,7 +138,7 @@ class Rectifier(Learner):
         naming.check_names(names)
         groups = dict(self.groups or naming.groups_by_prefix(names))
         features = list(dict.fromkeys(naming.ordered(groups, names)))
-        limits = learn_limits(df, features, self.labelCol, groups, self.sdfilter, self.snap, self.quantile_bounds)
+        limits = learn_limits(df, features, self.labelCol, groups, self.sdfilter, self.snap, self.quantile_bounds, self.wide)
         return RectifierModel(limits, self.complement_prefix if self.add_complements else None)
 
 
