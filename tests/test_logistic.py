@@ -37,6 +37,16 @@ def test_mllib_agrees(spark):
     assert sorted(r["loss"] for r in small.losses) == pytest.approx(sorted(r["loss"] for r in large.losses), abs=1e-5)
 
 
+def test_mllib_agrees_without_ids(spark):
+    """Folds that are dealt by pattern are the same on both paths."""
+    df, names = table(spark, 200, 3).persist(), ["f0", "f1", "f2"]
+    params = {"labelCol": "y", "featureCols": names, "Cs": [0.05, 0.5], "cv": 2, "tol": 1e-9}
+    small, large = L1LogisticCV(**params).fit(df), L1LogisticCV(**params, pattern_limit=3).fit(df)
+    assert [(r["fold"], r["path_pos"]) for r in large.losses] == [(r["fold"], r["path_pos"]) for r in sorted(small.losses, key=lambda r: (r["fold"], r["path_pos"]))]
+    assert [r["loss"] for r in sorted(small.losses, key=lambda r: (r["fold"], r["path_pos"]))] == pytest.approx([r["loss"] for r in large.losses], abs=1e-5)
+    assert [small.coef[n] for n in names] == pytest.approx([large.coef[n] for n in names], abs=1e-4)
+
+
 def test_dealt_patterns_cover_all_rows(spark):
     df = table(spark, 101, 2)
     patterns = L1LogisticCV(labelCol="y", featureCols=["f0", "f1"], cv=4)._patterns(df, ["f0", "f1"]).collect()

@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import metrics
+from tidemark.operators.running import running
 
 
 def frame(spark, rows):
@@ -36,9 +38,11 @@ def test_pr_curve(spark):
     assert {r.recall for r in metrics.pr_curve(frame(spark, [(0, 0.1, 0)]), "y", "s", "id").collect()} == {0.0}
 
 
-def test_pr_curve_over_many_ranges(spark):
+@pytest.mark.parametrize("kind", ["many", "some", "constant", "mostly"])
+def test_pr_curve_over_many_ranges(spark, kind):
     rng = np.random.default_rng(1)
-    y, s = rng.integers(0, 2, 3000), rng.random(3000).round(2)
+    y = rng.integers(0, 2, 3000)
+    s = {"many": rng.random(3000).round(2), "some": rng.integers(0, 3, 3000) / 2, "constant": np.full(3000, 0.5), "mostly": np.where(rng.random(3000) < 0.7, 0.3, rng.random(3000))}[kind]
     order = np.lexsort((np.arange(3000), -s))
     tp = np.cumsum(y[order])
     got = metrics.pr_curve(frame(spark, [(int(a), float(b), 0) for a, b in zip(y, s, strict=True)]), "y", "s", "id").orderBy("pos").toPandas()
@@ -48,3 +52,13 @@ def test_pr_curve_over_many_ranges(spark):
 
 def test_accuracy(spark):
     assert metrics.accuracy(frame(spark, [(1, 0.0, 1), (0, 0.0, 1)]), "y", "p") == 0.5
+
+
+def test_ties_are_cut_into_ranges(spark):
+    """Rows of one value don't meet in one window."""
+    df = spark.range(20_000).selectExpr("id", "0.5D AS s")
+    for descending in (False, True):
+        out = running(df, "s", {"n": F.lit(1).cast("long")}, ["id"], descending)
+        assert out.filter("n <> id + 1").count() == 0
+    parts = out.groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) > 1

@@ -2,18 +2,21 @@
 
 Rows are compressed to distinct (features, label) patterns with a count for each fold: one aggregate. All folds and the
 final fit then walk the whole penalty path on those patterns, one group each, so the cost of a path doesn't depend on
-the number of rows. Designs with more than ``pattern_limit`` patterns are fitted by MLlib on all rows instead.
+the number of rows. Beyond ``pattern_limit`` patterns, or CELLS of their numbers, MLlib fits the same patterns with the
+counts as weights, each fit a distributed job; folds, objective and choice are the same either way.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.classification import LogisticRegressionModel as LRModel
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +26,10 @@ from tidemark.operators import folds
 from tidemark.operators.base import Fitted, Learner, numeric_columns, one_of, require
 from tidemark.operators.solvers import SOLVERS, Rows
 
-#: Distinct patterns that one group holds: 60 MB with 32 features.
-PATTERN_LIMIT = 200_000
+log = logging.getLogger(__name__)
+
+#: Distinct patterns that one group holds, and numbers in them: 64 MB.
+PATTERN_LIMIT, CELLS = 200_000, 8_000_000
 
 
 def grid(cs: int | Sequence[float]) -> list[float]:
@@ -105,8 +110,8 @@ class L1LogisticCV(Learner):
                 raise ValueError("no rows to fit")
             if seen[1] not in (0, 1) or seen[2] not in (0, 1) or seen[4]:
                 raise ValueError("labels must be 0 or 1")
-            if seen[0] > self.pattern_limit:
-                return self._by_mllib(df, names, path)
+            if seen[0] > min(self.pattern_limit, CELLS // (len(names) + n_folds + 1)):
+                return self._by_mllib(patterns, names, path)
             paths, refit = SOLVERS[self.solver]
             tol, max_iter = self.tol, self.max_iter
 
@@ -124,49 +129,58 @@ class L1LogisticCV(Learner):
                 out, w, b = [], None, None
                 for pos, c in enumerate(path):
                     w, b = (refit if final else paths)(train, 1 / (c * train.n), w, b, tol, max_iter)
-                    out.append((fold, pos, c, 0.0 if final else test.loss(w, b) if test.n else float("nan"), w.tolist(), b))
-                return pd.DataFrame(out, columns=["fold", "path_pos", "C", "loss", "coef", "intercept"])
+                    gap = train.violation(w, b, 1 / (c * train.n))
+                    out.append((fold, pos, c, 0.0 if final else test.loss(w, b) if test.n else float("nan"), w.tolist(), b, gap))
+                return pd.DataFrame(out, columns=["fold", "path_pos", "C", "loss", "coef", "intercept", "gap"])
 
             ship(df.sparkSession)
             spread = patterns.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds))))
-            found = spread.groupBy("fold").applyInPandas(walk, "fold int, path_pos int, C double, loss double, coef array<double>, intercept double").collect()
+            found = spread.groupBy("fold").applyInPandas(walk, "fold int, path_pos int, C double, loss double, coef array<double>, intercept double, gap double").collect()
         finally:
             patterns.unpersist()
         losses = [{"fold": r.fold, "path_pos": r.path_pos, "C": r.C, "loss": r.loss} for r in found if r.fold < n_folds]
         best = choose(losses, self.cv_rule)
         final = next(r for r in found if r.fold == n_folds and r.path_pos == best)
+        if final.gap > max(tol, 1e-6):
+            log.warning("the fit stopped with its optimality conditions off by %g: raise max_iter", final.gap)
         return self._model(names, list(final.coef), final.intercept, path, best, losses)
 
     def _model(self, names: Sequence[str], coef: list[float], intercept: float, path: list[float], best: int, losses: list[dict]) -> L1LogisticModel:
         coef = [0.0 if abs(w) <= self.zero_clamp else w for w in coef]
         return L1LogisticModel(dict(zip(names, coef, strict=True)), intercept, path[best], path, losses, self.solver, self.cv_rule, self.zero_clamp)
 
-    def _by_mllib(self, df: DataFrame, names: Sequence[str], path: list[float]) -> L1LogisticModel:
-        """The same on all rows, each fit a distributed job."""
-        rows = self._folded(df.select(*(quoted(n) for n in names), *(quoted(c) for c in dict.fromkeys([self.labelCol, self.rowIdCol, self.foldCol]) if c)))
-        if "__fold" not in rows.columns:
-            rows = folds.hash_folds(rows, [*names, self.labelCol], self.cv, self.random_state, "__fold")
-        data = VectorAssembler(inputCols=list(names), outputCol="__x").transform(rows).select("__x", quoted(self.labelCol).cast("double").alias("__y"), "__fold").persist()
-
-        def fit(part: DataFrame, c: float) -> tuple[dict[str, float], float, object]:
-            n, positives = part.agg(F.count(F.lit(1)), F.sum("__y")).first()
+    def _by_mllib(self, patterns: DataFrame, names: Sequence[str], path: list[float]) -> L1LogisticModel:
+        """The same by distributed fits on the weighted patterns."""
+        total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c)
+        held = lambda f: F.get("counts", F.lit(f)) if f is not None else F.lit(0).cast("long")
+        data = patterns.select(array_to_vector("x").alias("__x"), F.col("y").cast("double").alias("__y"), "counts", total.alias("__n")).persist(StorageLevel.MEMORY_AND_DISK)
+
+        def fit(held_out: int | None, c: float) -> tuple[dict[str, float], float, LRModel | None]:
+            part = data.withColumn("__w", (F.col("__n") - held(held_out)).cast("double")).filter("__w > 0")
+            n, positives = part.agg(F.sum("__w"), F.sum(F.col("__w") * F.col("__y"))).first()
+            if not n:
+                raise ValueError("a fold holds all rows")
             if positives in (0, n):
                 p = min(max(positives / n, 1e-6), 1 - 1e-6)
                 return dict.fromkeys(names, 0.0), float(np.log(p / (1 - p))), None
-            lr = LogisticRegression(featuresCol="__x", labelCol="__y", regParam=1 / (c * n), elasticNetParam=1.0, standardization=False, tol=min(self.tol, 1e-8), maxIter=self.max_iter, family="binomial")
+            lr = LogisticRegression(
+                featuresCol="__x", labelCol="__y", weightCol="__w", regParam=1 / (c * n), elasticNetParam=1.0, standardization=False,
+                tol=min(self.tol, 1e-8), maxIter=self.max_iter, family="binomial",
+            )
             m = lr.fit(part)
             return dict(zip(names, m.coefficients.toArray().tolist(), strict=True)), float(m.intercept), m
 
         try:
             losses = []
             for f in range(self.cv):
-                train, test = data.filter(F.col("__fold") != f), data.filter(F.col("__fold") == f)
+                test = data.withColumn("__w", held(f).cast("double")).filter("__w > 0")
                 for pos, c in enumerate(path):
-                    _, b, m = fit(train, c)
-                    logits = m.transform(test).select("__y", vector_to_array("rawPrediction")[1].alias("z")) if m else test.select("__y", F.lit(b).alias("z"))
-                    losses.append({"fold": f, "path_pos": pos, "C": c, "loss": logits.agg(F.avg(log_loss(F.col("__y"), F.col("z")))).first()[0]})
+                    _, b, m = fit(f, c)
+                    logits = m.transform(test).withColumn("z", vector_to_array("rawPrediction")[1]) if m else test.withColumn("z", F.lit(b))
+                    total_loss, weight = logits.agg(F.sum(F.col("__w") * log_loss(F.col("__y"), F.col("z"))), F.sum("__w")).first()
+                    losses.append({"fold": f, "path_pos": pos, "C": c, "loss": total_loss / weight if weight else float("nan")})
             best = choose(losses, self.cv_rule)
-            coef, intercept, _ = fit(data, path[best])
+            coef, intercept, _ = fit(None, path[best])
         finally:
             data.unpersist()
         return self._model(names, [coef[n] for n in names], intercept, path, best, losses)
