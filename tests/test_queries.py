@@ -8,7 +8,7 @@ def test_like_sql(spark, name):
     assert rows_of(QUERIES[name](spark, SF_DIR)) == rows_of_sql(SQL[name])
 
 
-@pytest.mark.parametrize("name", ["fit_predict_l1", "fit_polish", "polish_mean"])
+@pytest.mark.parametrize("name", ["fit_predict_l1", "experiment_grid"])
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF_DIR).count() > 0
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,7 +13,7 @@ from tidemark.functions import expr, naming
 from tidemark.operators import folds, metrics, polish
 from tidemark.operators.classifier import CriticalRangeClassifier
 from tidemark.operators.dedupe import DuplicateColumnConsolidator
-from tidemark.operators.logistic_cv import L1LogisticCV, choose
+from tidemark.operators.logistic_cv import L1LogisticCV, L1LogisticModel, choose
 from tidemark.operators.rectify import Limit, Rectifier, RectifierModel
 from tidemark.operators.scale import StandardScaler
 from tidemark.plans.experiments import ExperimentConfig, run_experiments
@@ -100,7 +101,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("limits_long", _limits_sql(1.0))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _limits(spark, sf_dir, sdfilter=1.0, snap=None)
+    return _limits(spark, sf_dir, sdfilter=1.0, snap=None, wide=0)
+
+
+@query("limits_long_quantile", _limits_sql(None, "quantile_cont(x, 0.05)", "quantile_cont(x, 0.95)"))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _limits(spark, sf_dir, sdfilter=None, snap=None, quantile_bounds=(0.05, 0.95), wide=0)
 
 
 @query("limits_json_roundtrip", f'SELECT "group", feature, lo, hi FROM ({_limits_sql(1.0, snap=0.21)})')
@@ -316,6 +322,18 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.train_test_split(_read(spark, sf_dir, "events").select("event_id"), "event_id", 0.7)[0]
 
 
+@query("train_test_sizes", "SELECT floor(0.7 * count(*))::BIGINT AS train, count(*) - floor(0.7 * count(*))::BIGINT AS test, count(*) AS ids FROM events")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seeded split: sizes of both parts, and that they share no row."""
+    both = folds.split_column(_read(spark, sf_dir, "events").select("event_id"), "event_id", 0.7, 3)
+    return both.agg(F.count_if("train").alias("train"), F.count_if(~F.col("train")).alias("test"), F.countDistinct("event_id").alias("ids"))
+
+
+@query("exact_fold_sizes", "SELECT fold, count(*) AS n FROM (SELECT (ntile(7) OVER (ORDER BY event_id) - 1)::INTEGER AS fold FROM events) GROUP BY fold")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.exact_folds(_read(spark, sf_dir, "events").select("event_id"), "event_id", 7, 42).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+
+
 # Patterns and votes
 
 _PATTERN_SQL = f"SELECT {', '.join(f'{_pm1_sql(f)} AS {f}' for f in FEATURES)}, ({RULE})::INTEGER AS label FROM lineitem"
@@ -384,10 +402,8 @@ _SERIES = [0.2, 0.5, 0.6, 0.4, 0.3, 0.45, 0.7, 0.65]
     v AS (SELECT coalesce(min(k) FILTER (drop >= 0.05 AND js <= a AND js <= b), ceil(0.5 * {len(_SERIES)})) AS valley FROM d)
     SELECT k, round(js::DOUBLE, 6) AS j_smooth, valley::INTEGER AS k_first_min, (SELECT arg_max(k, j) FROM s) AS k_global, (SELECT arg_max(k, j) FROM s, v WHERE k <= valley) AS k_premin FROM m, v""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    smooth = polish.smoothed(_SERIES, 3)
-    valley = polish.first_valley(smooth, 0.05, 0.5)
-    best = lambda upto: max(range(upto), key=lambda i: (_SERIES[i], -i)) + 1
-    rows = [(i + 1, round(v, 6), valley, best(len(_SERIES)), best(valley)) for i, v in enumerate(smooth)]
+    overall, early = (polish.choose_k(_SERIES, polish.Policy(k_policy=p)) for p in ("global", "premin"))
+    rows = [(i + 1, round(v, 6), overall.valley, overall.k, early.k) for i, v in enumerate(overall.smooth)]
     return spark.createDataFrame(rows, "k int, j_smooth double, k_first_min int, k_global int, k_premin int")
 
 
@@ -400,7 +416,44 @@ for _rule, _sql in (("cv_min", "SELECT path_pos FROM b"), ("cv_one_se", "SELECT
     )
 
 
-# Whole fits, which SQL can't express: tests hold them against optimality conditions
+# Whole fits. With one -1/+1 feature, the optimality conditions give the penalised fit in closed form: in either group of
+# rows, the mean probability is the group's rate, moved towards the other's by 1 / (2 C rows). Fits of more features are
+# held against the conditions by tests.
+
+_FIT_C = [0.002, 0.01, 0.1, 5.0]
+_FIT_LABEL = "value BETWEEN 60 AND 200 OR event_id % 7 = 0"
+_FIT_SQL = f"""
+    WITH x AS (SELECT ntile(3) OVER (ORDER BY event_id) - 1 AS fold, CASE WHEN value < 50 OR value > 120 THEN -1 ELSE 1 END AS x, ({_FIT_LABEL})::INTEGER AS y FROM events),
+    g AS (
+        SELECT f.fold, count(*) FILTER (x = 1) AS np, count(*) FILTER (x = -1) AS nm, avg(y) FILTER (x = 1) AS rp, avg(y) FILTER (x = -1) AS rm, avg(y) AS r
+        FROM x JOIN (VALUES (0), (1), (2), (3)) AS f(fold) ON x.fold <> f.fold GROUP BY f.fold),
+    c AS (SELECT * FROM (VALUES {", ".join(f"({i}, {c}::DOUBLE)" for i, c in enumerate(_FIT_C))}) AS c(path_pos, c)),
+    p AS (
+        SELECT fold, path_pos, c, abs(np * (r - rp) - nm * (r - rm)) > 1 / c AS used, r,
+            rp - sign(rp - rm) / (2 * c * np) AS pp, rm + sign(rp - rm) / (2 * c * nm) AS pm FROM g, c),
+    w AS (
+        SELECT fold, path_pos, c, CASE WHEN used THEN (ln(pp / (1 - pp)) - ln(pm / (1 - pm))) / 2 ELSE 0 END AS w,
+            CASE WHEN used THEN (ln(pp / (1 - pp)) + ln(pm / (1 - pm))) / 2 ELSE ln(r / (1 - r)) END AS b FROM p),
+    l AS (
+        SELECT w.fold::INTEGER AS fold, path_pos, c, avg(ln(1 + exp(b + w * x)) - y * (b + w * x)) AS val_loss FROM w JOIN x ON x.fold = w.fold GROUP BY ALL)"""
+
+
+def _fit_one(spark: SparkSession, sf_dir: str):
+    frame = _read(spark, sf_dir, "events").select("event_id", "value", F.expr(f"int({_FIT_LABEL})").alias("label"))
+    marked = RectifierModel([Limit("value", "value", 0, 50.0, 120.0)]).transform(folds.key_folds(frame, "event_id", 3))
+    return L1LogisticCV(featureCols=["value"], labelCol="label", foldCol="fold", Cs=_FIT_C, cv=3, tol=1e-6).fit(marked)
+
+
+@query("fit_l1_losses", f"{_FIT_SQL} SELECT fold, path_pos, c, round(val_loss, 6) AS val_loss FROM l")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fit_one(spark, sf_dir).losses_table(spark).withColumn("val_loss", F.round("val_loss", 6)).withColumnRenamed("C", "c")
+
+
+@query("fit_l1_coef", f"""{_FIT_SQL}, m AS (SELECT path_pos, avg(val_loss) AS mean FROM l GROUP BY path_pos)
+    SELECT c, round(w, 4) AS coef, round(b, 4) AS intercept FROM w WHERE fold = 3 AND path_pos = (SELECT path_pos FROM m ORDER BY mean, path_pos LIMIT 1)""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = _fit_one(spark, sf_dir)
+    return spark.createDataFrame([(model.C, round(model.coef["value"], 4), round(model.intercept, 4))], "c double, coef double, intercept double")
 
 
 @query("fit_predict_l1")
@@ -411,7 +464,24 @@ def fit_predict_l1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.transform(frame).select("l_orderkey", "l_linenumber", "label", F.round("p1", 6).alias("p1"), "prediction")
 
 
-@query("fit_polish")
+_LEARNED_SQL = " UNION ALL ".join(
+    f"""SELECT '{f}' AS feature, {i} AS pos, CASE WHEN below >= greatest(1, floor(0.001 * n)) THEN lo END AS lo, CASE WHEN above >= greatest(1, floor(0.001 * n)) THEN hi END AS hi
+    FROM (SELECT lo, hi, count(*) AS n, count(*) FILTER ({f} < lo) AS below, count(*) FILTER ({f} > hi) AS above FROM lineitem, (
+        SELECT min({f}) AS lo, max({f}) AS hi FROM lineitem, (SELECT avg({f}) AS m, stddev_pop({f}) AS s FROM lineitem WHERE {RULE}) WHERE {RULE} AND {f} > m - 3 * s AND {f} < m + 3 * s)
+        GROUP BY lo, hi)"""
+    for i, f in enumerate(FEATURES)
+)
+
+
+# The label is a rule of two features, so the polish finds it: each has a vote, and J is highest where both ranges are met.
+@query("fit_polish", f"""
+    WITH l AS ({_LEARNED_SQL}), used AS (SELECT feature, lo, hi FROM l WHERE feature IN ('l_quantity', 'l_discount')),
+    long AS (SELECT rid, y, feature, x FROM (SELECT row_number() OVER () AS rid, ({RULE}) AS y, {", ".join(FEATURES)} FROM lineitem) UNPIVOT (x FOR feature IN ({", ".join(FEATURES)}))),
+    v AS (SELECT s, count(*) FILTER (y) AS pos, count(*) AS n FROM (
+        SELECT rid, any_value(y) AS y, 10 * sum(CASE WHEN coalesce(x < lo, false) OR coalesce(x > hi, false) THEN -1 ELSE 1 END) AS s FROM long JOIN used USING (feature) GROUP BY rid) GROUP BY s),
+    e AS (SELECT s, lead(s) OVER (ORDER BY s) AS nxt FROM v),
+    j AS (SELECT thr, sum(CASE WHEN s >= thr THEN pos / p ELSE (n - pos) / q END) - 1 AS j FROM v, (SELECT sum(pos) AS p, sum(n - pos) AS q FROM v), (SELECT (s + nxt) / 2 AS thr FROM e WHERE nxt IS NOT NULL) GROUP BY thr)
+    SELECT feature, lo, hi, CASE WHEN feature IN ('l_quantity', 'l_discount') THEN 10 ELSE 0 END::DOUBLE AS coef, (SELECT (0 - thr)::DOUBLE FROM j ORDER BY round(j, 12) DESC, thr LIMIT 1) AS intercept, true AS adopted FROM l""")
 def fit_polish(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole classifier with a polished rule: learned ranges, coefficients and the rule."""
     model = CriticalRangeClassifier(labelCol="label", featureCols=FEATURES, Cs=7, logic_polish=True, logic_intercept="maxj").fit(_lineitem(spark, sf_dir, RULE))
@@ -419,7 +489,17 @@ def fit_polish(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, lo double, hi double, coef double, intercept double, adopted boolean")
 
 
-@query("polish_mean")
+@query("polish_mean", f"""
+    WITH RECURSIVE v AS ({_VOTES_SQL}), t AS (SELECT k, sum(pos) / sum(n) AS rate, sum(n) AS total, sum(pos) AS p, sum(n - pos) AS q FROM v GROUP BY k),
+    halved AS (
+        SELECT k, -40.0::DOUBLE AS lo, 40.0::DOUBLE AS hi, 0 AS i FROM t
+        UNION ALL
+        SELECT k, CASE WHEN over THEN lo ELSE mid END, CASE WHEN over THEN mid ELSE hi END, i + 1 FROM (
+            SELECT h.k, lo, hi, i, (lo + hi) / 2 AS mid, sum(n / (1 + exp(-(2 * vote + (lo + hi) / 2)))) / any_value(total) > any_value(rate) AS over
+            FROM halved h JOIN v ON v.k = h.k JOIN t ON t.k = h.k WHERE i < 50 GROUP BY h.k, lo, hi, i)),
+    b AS (SELECT k, (lo + hi) / 2 AS b FROM halved WHERE i = 50)
+    SELECT k, feature, round(sum(CASE WHEN 2 * vote + b >= 0 THEN pos / p ELSE 0 END) + sum(CASE WHEN 2 * vote + b < 0 THEN (n - pos) / q ELSE 0 END) - 1, 6) AS j, round(b, 6) AS b
+    FROM v JOIN t USING (k) JOIN b USING (k) JOIN {_NAMED_SQL} USING (k) GROUP BY k, feature, b""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _polished(spark, sf_dir, intercept="mean", scale=2.0)
 
@@ -431,15 +511,22 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_experiments(frame, "label", "o_orderkey", grid, Cs=5, cv=3)
 
 
-@query("stream_rectify_score", "SELECT event_id, CASE WHEN value < 50 OR value > 120 THEN -1 ELSE 1 END::TINYINT AS value FROM events")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import tempfile
+_STREAM_X = "CASE WHEN value < 50 OR value > 120 THEN -1 ELSE 1 END::TINYINT"
+
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+@query("stream_rectify_score", f"SELECT event_id, value, round(1 / (1 + exp(-(0.75 * value - 0.5))), 6) AS p1, (0.75 * value - 0.5 >= 0)::INTEGER AS prediction FROM (SELECT event_id, {_STREAM_X} AS value FROM events)")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.gettempdir()
     place = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = _read(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).select("event_id", "value")
-    query = append_to(apply(stream, RectifierModel([Limit("value", "value", 0, 50.0, 120.0)])), f"{place}/out", f"{place}/state")
+    marked = apply(stream, RectifierModel([Limit("value", "value", 0, 50.0, 120.0)]))
+    scored = apply(marked, L1LogisticModel({"value": 0.75}, -0.5, 1.0, [1.0]), ["event_id", "value", "p1", "prediction"])
+    query = append_to(scored.withColumn("p1", F.round("p1", 6)), f"{place}/out", f"{place}/state")
     query.awaitTermination()
     return spark.read.parquet(f"{place}/out")
 
