@@ -72,6 +72,7 @@ def test_estimate_and_recall():
 @pytest.mark.parametrize("seed,words", [(1, 2), (2, 5)])
 def test_like_brute_force(spark, seed, words, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "PART", 3)
     rows = corpus(seed)
     rows += [(2000, None, "x"), (2001, "", "x"), (2002, " \n", None), (2003, "one", "x"), (2004, "ONE", "x"), (2005, rows[0][1], "x"), (None, rows[0][1], "x"), (None, None, "x")]
     want = brute(rows, words)
@@ -108,3 +109,16 @@ def test_one_of_each_stays(spark):
     assert near_dedup.deduplicated(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         near_dedup.near_duplicates(df, percent=70)
+
+
+def test_long_texts_ties_and_hashes(spark):
+    """Texts of 60,000 words; a pair at the threshold itself and one below; Thue-Morse texts, equal under weak hashes."""
+    long = [f"w{i}" for i in range(60_000)]
+    # n words have n - 1 pairs; a new last word costs one of them.
+    tie, below = [f"t{i}" for i in range(10)], [f"u{i}" for i in range(9)]
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    rows = [(1, " ".join(long)), (2, " ".join(long[:-50])), (3, " ".join(tie)), (4, " ".join([*tie[:-1], "x"])), (5, " ".join(below)), (6, " ".join([*below[:-1], "y"])), (7, a), (8, b)]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6, 7: 7, 8: 8}

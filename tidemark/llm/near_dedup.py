@@ -19,8 +19,9 @@ No group is ever expanded into all its pairs:
    can't change the result.
 
 Edge cases: a null or empty text, or one without words, has an empty set and is linked with nothing; with fewer words
-than a shingle takes, all of them are the only shingle; rows that share a doc_id count as linked; a null doc_id takes
-no part, gets a null component and is kept; an empty table gives an empty table.
+than a shingle takes, all of them are the only shingle; long texts are read whole; pairs at the threshold itself are
+linked; rows that share a doc_id count as linked; a null doc_id takes no part, gets a null component and is kept; other
+columns pass through :func:`deduplicated`, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded, checkpointed, chunks, mix64
+from tidemark.llm.common import bounded, checkpointed, chunks, mix64, placed, sweep
 from tidemark.llm.words import Words
 
 BANDS, BAND_ROWS, BITS = 32, 4, 4
@@ -41,6 +42,8 @@ HASHES = BANDS * BAND_ROWS
 ESTIMATE = 0.6
 #: Classes of a bucket that are compared at once when its components are.
 BLOCK = 256
+#: Partners of a class whose sets are met in one place.
+PART = 4096
 #: Best partners of a class in each other component, by round; the last round takes all.
 PARTNERS = (4, 64, None)
 _SLOT = 1 / (1 << BITS)
@@ -170,14 +173,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are as similar as asked for."""
+    """The pairs (a, b) whose full sets are as similar as asked for.
+
+    Sets stay where they are for the joins by document; the set of b is sent once, to that of a. A class a with many
+    partners is met in parts of about PART of them.
+    """
     of = lambda side: sets.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"set_{side}"))
+    pairs = pairs.select("a", "b")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
+    salted = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    left = salted.join(of("b"), "b")
+    right = parts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(of("a"), "a")
     both = F.size(F.array_intersect("set_a", "set_b"))
-    return (
-        pairs.select("a", "b").join(of("b"), "b").join(of("a"), "a")
-        .filter(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both))
-        .select("a", "b")
-    )
+    return left.join(right, ["a", "part"]).filter(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -188,19 +196,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     if not 80 <= percent <= 100:
         raise ValueError("percent must be from 80 to 100, for which the bands are laid out")
     docs = docs.select("doc_id", "text")
-    found = checkpointed(signatures(docs, words))
+    # Null ids take no part, so they aren't dealt by id.
+    nameless = signatures(docs.filter("doc_id is null"), words).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    docs = docs.filter("doc_id is not null")
+    found = placed(signatures(docs, words), "doc_id")
     keyed = found.select("doc_id", "n_shingles", "set_a", "set_b")
-    classes = keyed.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("class"))
-    member = checkpointed(
-        keyed.join(classes, ["set_a", "set_b", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("class"))
-    )
+    # Empty sets are in no class but their own.
+    filled, empty = keyed.filter("n_shingles > 0"), keyed.filter("n_shingles = 0")
+    classes = filled.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("class"))
+    in_class = filled.join(classes, ["set_a", "set_b", "n_shingles"]).select("doc_id", "n_shingles", "class")
+    member = checkpointed(in_class.unionByName(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("class"))))
     reps = found.join(member.filter("doc_id = class and n_shingles > 0").select("doc_id").distinct(), "doc_id", "left_semi")
     rows = reps.select("doc_id", F.explode("bands").alias("key"))
     buckets = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = checkpointed(rows.join(buckets, "key").distinct())
     some = shared.select("doc_id").distinct()
     facts = checkpointed(reps.select("doc_id", "n_shingles", "signature").join(some, "doc_id", "left_semi"))
-    sets = checkpointed(_sets(docs, some, words))
+    sets = placed(_sets(docs, some, words), "doc_id")
+    sweep(docs.sparkSession)
 
     pairs = shared.filter("least <> doc_id").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
     both = pairs.join(facts.alias("x"), F.col("a") == F.col("x.doc_id")).join(facts.alias("y"), F.col("b") == F.col("y.doc_id"))
@@ -215,13 +228,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         if rest.isEmpty():
             break
         tested = checkpointed(tested.unionByName(rest))
+        sweep(docs.sparkSession)
         stars = found_components.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
         more = checkpointed(_confirmed(rest, sets, percent))
         if not more.isEmpty():
             found_components = checkpointed(components(stars.unionByName(more)))
 
     named = member.join(found_components, member["class"] == found_components["node"], "left")
-    return named.select("doc_id", "n_shingles", F.coalesce("component", "class").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    every = named.select("doc_id", "n_shingles", F.coalesce("component", "class").alias("component_id")).unionByName(nameless)
+    return every.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
