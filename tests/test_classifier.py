@@ -1,10 +1,13 @@
+import json
+
 import numpy as np
 import pytest
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from tidemark.operators import classifier, polish
-from tidemark.operators.classifier import CriticalRangeClassifier
+from tidemark.operators.classifier import CriticalRangeClassifier, CriticalRangeModel
 from tidemark.operators.dedupe import DuplicateColumnConsolidator
 from tidemark.operators.logistic_cv import L1LogisticCV
 from tidemark.operators.rectify import Rectifier
@@ -83,6 +86,33 @@ def test_pipeline(spark):
     assert {"p0", "p1", "prediction"} <= set(out.columns) and out.count() == 600
 
 
+def test_parameter_grids(spark):
+    df = windows(spark, 200)
+    rectifier = Rectifier(labelCol="y", featureCols=["feat_T1"])
+    grid = ParamGridBuilder().addGrid(rectifier.sdfilter, [0.5, None]).build()
+    models = dict(rectifier.fitMultiple(df, grid))
+    assert models[0].limits[0].hi < models[1].limits[0].hi and rectifier.fit(df, {rectifier.snap: 0.9}).limits[0].lo is None
+
+
+def test_saved_pipelines(spark, tmp_path):
+    df, names = windows(spark), [f"feat_T{i}" for i in range(4)]
+    steps = [StandardScaler(featureCols=names), Rectifier(labelCol="y", featureCols=names), DuplicateColumnConsolidator(featureCols=names), L1LogisticCV(labelCol="y", featureCols=names, Cs=[0.1, 1.0])]
+    steps += [CriticalRangeClassifier(labelCol="y", featureCols=["feat_T1"], rectify=False, Cs=[1.0], logic_polish=True)]
+    pipeline = Pipeline(stages=steps)
+    pipeline.write().overwrite().save(str(tmp_path / "pipeline"))
+    back = Pipeline.load(str(tmp_path / "pipeline"))
+    assert [s.get_params() for s in back.getStages()] == [s.get_params() | {k: list(x) for k, x in s.get_params().items() if isinstance(x, tuple)} for s in steps]
+    clean = df.select("id", "y", *names)
+    model = Pipeline(stages=steps[:4]).fit(clean)
+    model.save(str(tmp_path / "model"))
+    loaded = PipelineModel.load(str(tmp_path / "model"))
+    assert loaded.transform(clean).select("id", "p1").orderBy("id").collect() == model.transform(clean).select("id", "p1").orderBy("id").collect()
+    whole = CriticalRangeClassifier(labelCol="y", rowIdCol="id", Cs=3, logic_polish=True, logic_intercept="maxj").fit(df)
+    whole.save(str(tmp_path / "whole"))
+    again = CriticalRangeModel.load(str(tmp_path / "whole"))
+    assert again.state() == whole.state() and json.loads(again.diagnostics_json())["J0"] == whole.diag["J0"]
+
+
 def test_scaler(spark):
     df = spark.createDataFrame([(1.0, 2.0), (3.0, 2.0), (float("nan"), 2.0)], "x double, c double")
     out = StandardScaler().fit_transform(df).collect()
@@ -93,7 +123,8 @@ def test_scaler(spark):
 def test_parameters():
     c = CriticalRangeClassifier(Cs=3)
     assert c.get_params()["Cs"] == 3 and c.get_params()["logic_rel_tol"] == 0.01
-    assert c.set_params(cv=9).cv == 9
+    assert c.set_params(cv=9).get_params()["cv"] == 9
+    assert c.copy({c.cv: 4}).getOrDefault("cv") == 4 and c.getOrDefault(c.cv) == 9
     with pytest.raises(ValueError):
         c.set_params(depth=1)
 

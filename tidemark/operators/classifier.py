@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import logging
 from collections.abc import Mapping, Sequence
 
@@ -34,53 +35,55 @@ class CriticalRangeClassifier(Learner):
     }
 
     def _policy(self) -> polish.Policy:
+        v = self.values()
         return polish.Policy(
-            self.logic_scale, self.logic_target, self.logic_maxk, self.logic_rel_tol, self.logic_k_policy or "global", self.logic_smooth_k,
-            self.logic_firstmin_drop, self.logic_firstmin_frac, self.logic_intercept, self.logic_m, self.logic_m_frac,
+            v.logic_scale, v.logic_target, v.logic_maxk, v.logic_rel_tol, v.logic_k_policy or "global", v.logic_smooth_k,
+            v.logic_firstmin_drop, v.logic_firstmin_frac, v.logic_intercept, v.logic_m, v.logic_m_frac,
         )
 
     def _fit(self, df: DataFrame) -> CriticalRangeModel:
-        one_of("duplicate_mode", self.duplicate_mode, MODES)
-        one_of("duplicate_expansion", self.duplicate_expansion, EXPANSIONS)
-        one_of("logic_polish_stage", self.logic_polish_stage, ["expanded", "fit"])
+        v = self.values()
+        one_of("duplicate_mode", v.duplicate_mode, MODES)
+        one_of("duplicate_expansion", v.duplicate_expansion, EXPANSIONS)
+        one_of("logic_polish_stage", v.logic_polish_stage, ["expanded", "fit"])
         policy = self._policy()
         policy.check()
-        ids = [c for c in (self.rowIdCol, self.foldCol) if c]
-        names = list(self.featureCols) if self.featureCols else numeric_columns(df, [self.labelCol, *ids])
-        excluded = set(map(str, self.exclude_features or ()))
+        ids = [c for c in (v.rowIdCol, v.foldCol) if c]
+        names = list(v.featureCols) if v.featureCols else numeric_columns(df, [v.labelCol, *ids])
+        excluded = set(map(str, v.exclude_features or ()))
         names = [n for n in names if n not in excluded]
-        require(df, [*names, self.labelCol, *ids])
+        require(df, [*names, v.labelCol, *ids])
         naming.check_names(names)
-        work = df.select(*(quoted(c) for c in dict.fromkeys([*names, self.labelCol, *ids])))
+        work = df.select(*(quoted(c) for c in dict.fromkeys([*names, v.labelCol, *ids])))
 
         rectifier = None
-        if self.rectify:
-            shared = {k: getattr(self, k) for k in Rectifier.PARAMS if k in self.PARAMS and k not in ("featureCols", "exclude_features")}
+        if v.rectify:
+            shared = {k: getattr(v, k) for k in Rectifier.PARAMS if k in self.PARAMS and k not in ("featureCols", "exclude_features")}
             rectifier = Rectifier(featureCols=names, **shared).fit(work)
             work, names = rectifier.transform(work), rectifier.output_features
         work = work.persist()
         try:
-            consolidator = DuplicateColumnConsolidator(featureCols=names, mode=self.duplicate_mode, expansion=self.duplicate_expansion).fit(work)
+            consolidator = DuplicateColumnConsolidator(featureCols=names, mode=v.duplicate_mode, expansion=v.duplicate_expansion).fit(work)
             reduced = consolidator.transform(work)
-            scale = self.use_scaler
+            scale = v.use_scaler
             if scale is None:
                 # Rectified columns are -1 and +1 by construction.
-                scale = not self.rectify
+                scale = not v.rectify
             scaler = StandardScaler(featureCols=consolidator.features).fit(reduced) if scale else None
             ready = scaler.transform(reduced) if scaler else reduced
             logistic = L1LogisticCV(
-                featureCols=consolidator.features, labelCol=self.labelCol, rowIdCol=self.rowIdCol, foldCol=self.foldCol, foldMode=self.foldMode, Cs=self.Cs, cv=self.cv,
-                solver=self.solver, tol=self.tol, max_iter=self.max_iter, random_state=self.random_state, cv_rule=self.cv_rule, zero_clamp=self.zero_clamp,
+                featureCols=consolidator.features, labelCol=v.labelCol, rowIdCol=v.rowIdCol, foldCol=v.foldCol, foldMode=v.foldMode, Cs=v.Cs, cv=v.cv,
+                solver=v.solver, tol=v.tol, max_iter=v.max_iter, random_state=v.random_state, cv_rule=v.cv_rule, zero_clamp=v.zero_clamp,
             ).fit(ready)
-            if self.verbose:
-                log.info("chose C=%g of %s by rule %s; mean losses by C: %s", logistic.C, logistic.Cs, self.cv_rule, logistic.mean_losses())
+            if v.verbose:
+                log.info("chose C=%g of %s by rule %s; mean losses by C: %s", logistic.C, logistic.Cs, v.cv_rule, logistic.mean_losses())
             full_scaler = None
             if scaler:
                 place = {r: i for i, r in enumerate(scaler.features)}
                 of = {m: place[c.rep] for c in consolidator.duplicate_classes for m in c.members}
                 full_scaler = StandardScalerModel(names, [scaler.mean[of[n]] for n in names], [scaler.scale[of[n]] for n in names])
-            model = CriticalRangeModel(self.labelCol, rectifier, consolidator, scaler, full_scaler, logistic)
-            return model.polished(work, policy, self.logic_polish_stage, self.logic_Ks_plot or ()) if self.logic_polish else model
+            model = CriticalRangeModel(v.labelCol, rectifier, consolidator, scaler, full_scaler, logistic)
+            return model.polished(work, policy, v.logic_polish_stage, v.logic_Ks_plot or ()) if v.logic_polish else model
         finally:
             work.unpersist()
 
@@ -97,6 +100,23 @@ class CriticalRangeModel(Fitted):
         self.coef_fit, self.intercept = dict(logistic.coef), logistic.intercept
         self.coef = consolidator.expand(self.coef_fit)
 
+    def state(self) -> dict[str, object]:
+        parts = {n: getattr(self, n) for n in ("rectifier", "consolidator", "scaler", "full_scaler", "logistic")}
+        own = {n: getattr(self, n) for n in ("diag", "rule", "rule_intercept", "coef_fit", "intercept", "coef")}
+        return {"label": self.label, "parts": {n: m and m.state() for n, m in parts.items()}, "own": own}
+
+    @classmethod
+    def from_state(cls, state: dict) -> CriticalRangeModel:
+        kinds = {"rectifier": RectifierModel, "consolidator": DuplicateColumnModel, "scaler": StandardScalerModel, "full_scaler": StandardScalerModel, "logistic": L1LogisticModel}
+        model = cls(state["label"], **{n: state["parts"][n] and kind.from_state(state["parts"][n]) for n, kind in kinds.items()})
+        for name, value in state["own"].items():
+            setattr(model, name, value)
+        return model
+
+    def diagnostics_json(self) -> str:
+        """The diagnostics of the polish as JSON, for a record of its own."""
+        return json.dumps(self.diag, indent=2)
+
     def adopt(self, coef: Mapping[str, float], intercept: float, expanded: bool) -> None:
         """Takes over a vote rule, on all features or on the consolidated ones."""
         self.intercept = float(intercept)

@@ -60,15 +60,16 @@ class DuplicateColumnConsolidator(Learner):
     PARAMS = {"featureCols": None, "labelCol": None, "mode": "within_group", "expansion": "split_evenly"}
 
     def _fit(self, df: DataFrame) -> DuplicateColumnModel:
-        one_of("mode", self.mode, MODES)
-        one_of("expansion", self.expansion, EXPANSIONS)
-        names = list(self.featureCols) if self.featureCols else numeric_columns(df, [self.labelCol])
+        v = self.values()
+        one_of("mode", v.mode, MODES)
+        one_of("expansion", v.expansion, EXPANSIONS)
+        names = list(v.featureCols) if v.featureCols else numeric_columns(df, [v.labelCol])
         require(df, names)
         naming.check_names(names)
         everywhere = equal_columns(df, names)
-        if self.mode == "none":
+        if v.mode == "none":
             classes = [[n] for n in names]
-        elif self.mode == "global":
+        elif v.mode == "global":
             classes = everywhere
         else:
             split: dict[tuple[str, str], list[str]] = {}
@@ -79,7 +80,7 @@ class DuplicateColumnConsolidator(Learner):
         place = {n: i for i, n in enumerate(names)}
         classes = sorted((sorted(c, key=place.get) for c in classes), key=lambda c: place[c[0]])
         aliases = sum(len(c) > 1 and len({naming.root_group(n) for n in c}) > 1 for c in everywhere)
-        return DuplicateColumnModel(names, [DuplicateClass(tuple(c)) for c in classes], self.mode, self.expansion, aliases)
+        return DuplicateColumnModel(names, [DuplicateClass(tuple(c)) for c in classes], v.mode, v.expansion, aliases)
 
 
 class DuplicateColumnModel(Fitted):
@@ -90,6 +91,17 @@ class DuplicateColumnModel(Fitted):
         self.input_features, self.duplicate_classes = list(input_features), list(classes)
         self.mode, self.expansion, self.cross_group_alias_classes = mode, expansion, cross_group_alias_classes
 
+    def state(self) -> dict[str, object]:
+        classes = [list(c.members) for c in self.duplicate_classes]
+        return {
+            "input_features": self.input_features, "classes": classes, "mode": self.mode, "expansion": self.expansion,
+            "cross_group_alias_classes": self.cross_group_alias_classes,
+        }
+
+    @classmethod
+    def from_state(cls, state: dict) -> DuplicateColumnModel:
+        return cls(**(state | {"classes": [DuplicateClass(tuple(c)) for c in state["classes"]]}))
+
     @property
     def features(self) -> list[str]:
         """The representatives, in order."""

@@ -66,43 +66,47 @@ class L1LogisticCV(Learner):
     }
 
     def _check(self) -> None:
-        one_of("solver", self.solver, list(SOLVERS))
-        one_of("penalty", self.penalty, ["l1"])
-        one_of("scoring", self.scoring, ["neg_log_loss"])
-        one_of("cv_rule", self.cv_rule, ["min", "1se"])
-        one_of("foldMode", self.foldMode, ["auto", "hash", "exact", "pattern"])
-        if self.cv < 2:
+        v = self.values()
+        one_of("solver", v.solver, list(SOLVERS))
+        one_of("penalty", v.penalty, ["l1"])
+        one_of("scoring", v.scoring, ["neg_log_loss"])
+        one_of("cv_rule", v.cv_rule, ["min", "1se"])
+        one_of("foldMode", v.foldMode, ["auto", "hash", "exact", "pattern"])
+        if v.cv < 2:
             raise ValueError("cv must be at least 2")
 
     def _folded(self, df: DataFrame) -> DataFrame:
         """``df`` with the column __fold, or with none if patterns are dealt out."""
-        if self.foldCol:
-            return df.withColumn("__fold", quoted(self.foldCol).cast("int"))
-        mode = self.foldMode if self.foldMode != "auto" else "hash" if self.rowIdCol else "pattern"
+        v = self.values()
+        if v.foldCol:
+            return df.withColumn("__fold", quoted(v.foldCol).cast("int"))
+        mode = v.foldMode if v.foldMode != "auto" else "hash" if v.rowIdCol else "pattern"
         if mode == "hash":
-            return folds.hash_folds(df, [self.rowIdCol], self.cv, self.random_state, "__fold")
+            return folds.hash_folds(df, [v.rowIdCol], v.cv, v.random_state, "__fold")
         if mode == "exact":
-            return folds.exact_folds(df, self.rowIdCol, self.cv, self.random_state, "__fold")
+            return folds.exact_folds(df, v.rowIdCol, v.cv, v.random_state, "__fold")
         return df
 
     def _patterns(self, df: DataFrame, names: Sequence[str]) -> DataFrame:
         """Distinct (x, y) with the counts of all folds as an array."""
+        v = self.values()
         x = F.array(*(quoted(n).cast("double") for n in names))
         rows = self._folded(df)
-        counts = rows.select(x.alias("x"), quoted(self.labelCol).cast("int").alias("y"), *(["__fold"] if "__fold" in rows.columns else []))
+        counts = rows.select(x.alias("x"), quoted(v.labelCol).cast("int").alias("y"), *(["__fold"] if "__fold" in rows.columns else []))
         if "__fold" in rows.columns:
-            return counts.groupBy("x", "y").agg(F.array(*(F.count_if(F.col("__fold") == f) for f in range(self.cv))).alias("counts"))
+            return counts.groupBy("x", "y").agg(F.array(*(F.count_if(F.col("__fold") == f) for f in range(v.cv))).alias("counts"))
         total = counts.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
         # Each pattern's rows go to the folds in turn, from a fold that its hash picks.
-        first = F.pmod(F.xxhash64(F.lit(self.random_state), "x", "y"), F.lit(self.cv))
-        each = F.transform(F.sequence(F.lit(0), F.lit(self.cv - 1)), lambda f: F.floor((F.col("n") + F.pmod(first - 1 - f, F.lit(self.cv))) / self.cv))
+        first = F.pmod(F.xxhash64(F.lit(v.random_state), "x", "y"), F.lit(v.cv))
+        each = F.transform(F.sequence(F.lit(0), F.lit(v.cv - 1)), lambda f: F.floor((F.col("n") + F.pmod(first - 1 - f, F.lit(v.cv))) / v.cv))
         return total.select("x", "y", each.alias("counts"))
 
     def _fit(self, df: DataFrame) -> L1LogisticModel:
+        v = self.values()
         self._check()
-        names = list(self.featureCols) if self.featureCols else numeric_columns(df, [self.labelCol, self.rowIdCol, self.foldCol])
+        names = list(v.featureCols) if v.featureCols else numeric_columns(df, [v.labelCol, v.rowIdCol, v.foldCol])
         require(df, names)
-        path, n_folds = grid(self.Cs), self.cv
+        path, n_folds = grid(v.Cs), v.cv
         patterns = self._patterns(df, names).persist()
         try:
             seen = patterns.agg(F.count(F.lit(1)), F.min("y"), F.max("y"), F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c)), F.count_if(F.col("y").isNull())).first()
@@ -110,10 +114,10 @@ class L1LogisticCV(Learner):
                 raise ValueError("no rows to fit")
             if seen[1] not in (0, 1) or seen[2] not in (0, 1) or seen[4]:
                 raise ValueError("labels must be 0 or 1")
-            if seen[0] > min(self.pattern_limit, CELLS // (len(names) + n_folds + 1)):
+            if seen[0] > min(v.pattern_limit, CELLS // (len(names) + n_folds + 1)):
                 return self._by_mllib(patterns, names, path)
-            paths, refit = SOLVERS[self.solver]
-            tol, max_iter = self.tol, self.max_iter
+            paths, refit = SOLVERS[v.solver]
+            tol, max_iter = v.tol, v.max_iter
 
             def walk(pdf: pd.DataFrame) -> pd.DataFrame:
                 fold = int(pdf["fold"].iloc[0])
@@ -139,18 +143,20 @@ class L1LogisticCV(Learner):
         finally:
             patterns.unpersist()
         losses = [{"fold": r.fold, "path_pos": r.path_pos, "C": r.C, "loss": r.loss} for r in found if r.fold < n_folds]
-        best = choose(losses, self.cv_rule)
+        best = choose(losses, v.cv_rule)
         final = next(r for r in found if r.fold == n_folds and r.path_pos == best)
         if final.gap > max(tol, 1e-6):
             log.warning("the fit stopped with its optimality conditions off by %g: raise max_iter", final.gap)
         return self._model(names, list(final.coef), final.intercept, path, best, losses)
 
     def _model(self, names: Sequence[str], coef: list[float], intercept: float, path: list[float], best: int, losses: list[dict]) -> L1LogisticModel:
-        coef = [0.0 if abs(w) <= self.zero_clamp else w for w in coef]
-        return L1LogisticModel(dict(zip(names, coef, strict=True)), intercept, path[best], path, losses, self.solver, self.cv_rule, self.zero_clamp)
+        v = self.values()
+        coef = [0.0 if abs(w) <= v.zero_clamp else w for w in coef]
+        return L1LogisticModel(dict(zip(names, coef, strict=True)), intercept, path[best], path, losses, v.solver, v.cv_rule, v.zero_clamp)
 
     def _by_mllib(self, patterns: DataFrame, names: Sequence[str], path: list[float]) -> L1LogisticModel:
         """The same by distributed fits on the weighted patterns."""
+        v = self.values()
         total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c)
         held = lambda f: F.get("counts", F.lit(f)) if f is not None else F.lit(0).cast("long")
         data = patterns.select(array_to_vector("x").alias("__x"), F.col("y").cast("double").alias("__y"), "counts", total.alias("__n")).persist(StorageLevel.MEMORY_AND_DISK)
@@ -165,21 +171,21 @@ class L1LogisticCV(Learner):
                 return dict.fromkeys(names, 0.0), float(np.log(p / (1 - p))), None
             lr = LogisticRegression(
                 featuresCol="__x", labelCol="__y", weightCol="__w", regParam=1 / (c * n), elasticNetParam=1.0, standardization=False,
-                tol=min(self.tol, 1e-8), maxIter=self.max_iter, family="binomial",
+                tol=min(v.tol, 1e-8), maxIter=v.max_iter, family="binomial",
             )
             m = lr.fit(part)
             return dict(zip(names, m.coefficients.toArray().tolist(), strict=True)), float(m.intercept), m
 
         try:
             losses = []
-            for f in range(self.cv):
+            for f in range(v.cv):
                 test = data.withColumn("__w", held(f).cast("double")).filter("__w > 0")
                 for pos, c in enumerate(path):
                     _, b, m = fit(f, c)
                     logits = m.transform(test).withColumn("z", vector_to_array("rawPrediction")[1]) if m else test.withColumn("z", F.lit(b))
                     total_loss, weight = logits.agg(F.sum(F.col("__w") * log_loss(F.col("__y"), F.col("z"))), F.sum("__w")).first()
                     losses.append({"fold": f, "path_pos": pos, "C": c, "loss": total_loss / weight if weight else float("nan")})
-            best = choose(losses, self.cv_rule)
+            best = choose(losses, v.cv_rule)
             coef, intercept, _ = fit(None, path[best])
         finally:
             data.unpersist()
@@ -194,6 +200,10 @@ class L1LogisticModel(Fitted):
         self.coef, self.intercept, self.C, self.Cs, self.losses = dict(coef), float(intercept), float(C), list(Cs), list(losses)
         self.solver, self.cv_rule, self.zero_clamp = solver, cv_rule, zero_clamp
 
+    def state(self) -> dict[str, object]:
+        names = ("coef", "intercept", "C", "Cs", "losses", "solver", "cv_rule", "zero_clamp")
+        return {n: getattr(self, n) for n in names}
+
     def losses_table(self, spark: SparkSession) -> DataFrame:
         """Rows (fold, path_pos, C, val_loss)."""
         rows = [(r["fold"], r["path_pos"], r["C"], r["loss"]) for r in self.losses]

@@ -132,14 +132,15 @@ class Rectifier(Learner):
     }
 
     def _fit(self, df: DataFrame) -> RectifierModel:
-        names = list(self.featureCols) if self.featureCols else numeric_columns(df, [self.labelCol, *self.idCols])
-        names = [n for n in names if n not in set(map(str, self.exclude_features or ()))]
+        v = self.values()
+        names = list(v.featureCols) if v.featureCols else numeric_columns(df, [v.labelCol, *v.idCols])
+        names = [n for n in names if n not in set(map(str, v.exclude_features or ()))]
         require(df, names)
         naming.check_names(names)
-        groups = dict(self.groups or naming.groups_by_prefix(names))
+        groups = dict(v.groups or naming.groups_by_prefix(names))
         features = list(dict.fromkeys(naming.ordered(groups, names)))
-        limits = learn_limits(df, features, self.labelCol, groups, self.sdfilter, self.snap, self.quantile_bounds, self.wide)
-        return RectifierModel(limits, self.complement_prefix if self.add_complements else None)
+        limits = learn_limits(df, features, v.labelCol, groups, v.sdfilter, v.snap, v.quantile_bounds, v.wide)
+        return RectifierModel(limits, v.complement_prefix if v.add_complements else None)
 
 
 class RectifierModel(Fitted):
@@ -149,6 +150,13 @@ class RectifierModel(Fitted):
         super().__init__()
         self.limits, self.complement_prefix = list(limits), complement_prefix
 
+    def state(self) -> dict[str, object]:
+        return {"limits": [[v.group, v.feature, v.pos, v.lo, v.hi] for v in self.limits], "complement_prefix": self.complement_prefix}
+
+    @classmethod
+    def from_state(cls, state: dict) -> RectifierModel:
+        return cls([Limit(*v) for v in state["limits"]], state["complement_prefix"])
+
     @property
     def features(self) -> list[str]:
         """The features, in order."""

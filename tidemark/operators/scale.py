@@ -17,12 +17,13 @@ class StandardScaler(Learner):
     PARAMS = {"featureCols": None, "labelCol": None, "with_mean": True, "with_std": True}
 
     def _fit(self, df: DataFrame) -> StandardScalerModel:
-        names = list(self.featureCols) if self.featureCols else numeric_columns(df, [self.labelCol])
+        v = self.values()
+        names = list(v.featureCols) if v.featureCols else numeric_columns(df, [v.labelCol])
         require(df, names)
         aggs = [f(clean(quoted(n))) for n in names for f in (F.avg, F.stddev_pop)]
         row = df.agg(*(a.alias(f"c{i}") for i, a in enumerate(aggs))).first() if names else ()
-        mean = [float(row[2 * i] or 0.0) if self.with_mean else 0.0 for i in range(len(names))]
-        scale = [float(row[2 * i + 1] or 1.0) if self.with_std else 1.0 for i in range(len(names))]
+        mean = [float(row[2 * i] or 0.0) if v.with_mean else 0.0 for i in range(len(names))]
+        scale = [float(row[2 * i + 1] or 1.0) if v.with_std else 1.0 for i in range(len(names))]
         return StandardScalerModel(names, mean, scale)
 
 
@@ -33,6 +34,9 @@ class StandardScalerModel(Fitted):
         super().__init__()
         self.features, self.mean, self.scale = list(features), list(mean), list(scale)
 
+    def state(self) -> dict[str, object]:
+        return {"features": self.features, "mean": self.mean, "scale": self.scale}
+
     def _transform(self, df: DataFrame) -> DataFrame:
         require(df, self.features)
         new = {n: ((quoted(n).cast("double") - m) / s).alias(n) for n, m, s in zip(self.features, self.mean, self.scale, strict=True)}
