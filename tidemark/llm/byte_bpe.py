@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidemark.llm.common import bounded, chunks
+from tidemark.llm.common import bounded, chunks, mapped
 
 _NONE = np.int32(0x7FFFFFFF)
 #: Pieces in the memo, and the bytes up to which a piece is kept there.
@@ -229,7 +229,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
             arrays = [*part.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names, out])
 
-    return bounded(kept).mapInArrow(run, schema)
+    return mapped(kept, run, schema)
 
 
 def decode_documents(docs: DataFrame, path: str, pattern: str, ids: str = "token_ids", out: str = "text") -> DataFrame:
@@ -243,7 +243,7 @@ def decode_documents(docs: DataFrame, path: str, pattern: str, ids: str = "token
             texts = [bpe.decode(np.array(x or [], "<u4").tobytes()) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(texts, pa.binary())], names=[*(f.name for f in kept), out])
 
-    return bounded(docs).mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def encode_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:

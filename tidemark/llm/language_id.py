@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import bounded, chunks
+from tidemark.llm.common import bounded, chunks, mapped
 
 DIMENSIONS, SLOTS, SEED = 1024, 48, 20
 MAX_LANGUAGES = 2000
@@ -148,9 +149,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
             found = [judge(t) for t in part.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())], names=[*part.schema.names, pred, score])
 
-    from pyspark.sql import types as T
-
-    return bounded(kept).mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(pred, T.StringType(), False), T.StructField(score, T.DoubleType(), False)]))
+    return mapped(kept, run, T.StructType([*kept.schema.fields, T.StructField(pred, T.StringType(), False), T.StructField(score, T.DoubleType(), False)]))
 
 
 def held_out(doc_id: Column) -> Column:

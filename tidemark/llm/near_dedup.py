@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.expr import quoted
 from tidemark.llm.common import bounded, checkpointed, chunks, mix64, placed, sweep
 from tidemark.llm.words import Words
 
@@ -244,13 +245,14 @@ def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     found = checkpointed(near_duplicates(docs, words, percent))
     gone = found.filter("not kept").select("doc_id").distinct()
     again = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    names = [quoted(c) for c in docs.columns]
+    left = docs.join(gone, "doc_id", "left_anti").select(*names)
     if again.isEmpty():
         return left
-    repeated = left.join(again, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"))
+    repeated = left.join(again, "doc_id", "left_semi").select(F.struct(*names).alias("row"))
     nth = F.row_number().over(Window.partitionBy("row.doc_id").orderBy("row.text"))
     first = repeated.withColumn("nth", nth).filter("nth = 1").select("row.*")
-    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(first)
+    return left.join(again, "doc_id", "left_anti").select(*names).unionByName(first)
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
