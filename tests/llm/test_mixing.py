@@ -5,61 +5,53 @@ import pytest
 from tidemark.llm import mixing
 
 
-def test_frame_meets_every_deadline():
+def test_slots_meet_every_deadline():
     for shares in ({0: 500, 1: 300, 2: 224}, {0: 1, 1: 1023}, dict(enumerate([103, 7, 200, 31, 400, 283]))):
-        slots = mixing.frame(shares)
+        found = list(mixing.slots((u, n, n) for u, n in shares.items()))
         total = sum(shares.values())
-        assert sorted(s for v in slots.values() for s in v) == list(range(total))
-        for unit, own in slots.items():
-            for i, t in enumerate(own):
-                assert i * total // shares[unit] <= t < -(-(i + 1) * total // shares[unit])
+        assert [t for *_, t in found] == list(range(total))
         ran = dict.fromkeys(shares, 0)
-        by = {t: u for u, own in slots.items() for t in own}
-        for t in range(total):
-            ran[by[t]] += 1
+        for unit, i, t in found:
+            assert i == ran[unit] and i * total // shares[unit] <= t < -(-(i + 1) * total // shares[unit])
+            ran[unit] += 1
             assert all(abs(ran[u] - Fraction(shares[u] * (t + 1), total)) < 1 for u in shares)
 
 
-def test_schedule_places_each_block_once():
+def test_each_block_runs_once():
     blocks, weights = {0: 700, 1: 90, 2: 1, 3: 40}, {0: 5.0, 1: 3.0, 2: 1.0, 3: 0.0}
-    place = {}
-    for u, first, end, base, k, j, at in mixing.schedule(blocks, weights):
-        for b in range(first + j, end, k):
-            place[u, b] = base + (b - first) // k * mixing.FRAME + at
-    assert sorted(place) == sorted((u, b) for u, n in blocks.items() for b in range(n))
-    assert sorted(place.values()) == list(range(sum(blocks.values())))
-    assert min(t for (u, _), t in place.items() if u == 3) > max(t for (u, _), t in place.items() if u != 3)
-    assert mixing.schedule({}, {}) == []
+    found = list(mixing.planned((u, n, weights[u]) for u, n in blocks.items()))
+    assert sorted((u, i) for u, i, _ in found) == sorted((u, b) for u, n in blocks.items() for b in range(n))
+    assert sorted(t for *_, t in found) == list(range(sum(blocks.values())))
+    assert min(t for u, _, t in found if u == 3) > max(t for u, _, t in found if u != 3)
+    assert list(mixing.planned([])) == []
 
 
 def rows():
     out = [(i, "a" if i % 3 else "b" if i % 2 else None, f"text {i}", i) for i in range(700)]
-    return [*out, (None, "c", None, 0), (5, "a", "text 5", 5), (5, "a", "other", 5)]
+    return [*out, (None, "c", None, 0), (5, "a", "text 5", 5), (5, "a", "other", 5), (9, "a", "", 9), (9, "a", "word " * 50_000, 9), *((None, "a", f"nameless {i}", 0) for i in range(60))]
 
 
-@pytest.mark.parametrize("limit", [256, 2])
-def test_table(spark, monkeypatch, limit):
-    monkeypatch.setattr(mixing, "MAX_SOURCES", limit)
+def test_table(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_ROWS", 8)
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
     df = spark.createDataFrame(rows(), "doc_id long, source string, text string, u long")
     got = mixing.mix_report(df).collect()
     assert len(got) == len(rows()) and len({r.position for r in got}) == len(got)
     assert all(r.position // 8 == r.slot for r in got)
-    if limit > 2:
-        counts = {}
-        for r in got:
-            counts[r.source, r.block] = counts.get((r.source, r.block), 0) + 1
-        assert max(counts.values()) == 8 and len({r.slot for r in got}) == len(counts)
+    counts = {}
+    for r in got:
+        counts[r.source, r.block] = counts.get((r.source, r.block), 0) + 1
+    assert max(counts.values()) == 8 and len({r.slot for r in got}) == len(counts)
     mixed = mixing.mixed(df, {"a": 3, "b": 1})
     assert mixed.columns == df.columns
+    assert sorted(r.place for r in mixing.mixed(df, position="place").collect()) == sorted(r.position for r in got)
     assert sorted(map(str, mixed.collect())) == sorted(map(str, df.collect()))
     assert mixing.mix_report(df.limit(0)).count() == 0
 
 
 def test_weights_are_met(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_ROWS", 1)
-    df = spark.createDataFrame([(i, s) for i, s in enumerate("a" * 300 + "b" * 300)], "doc_id long, source string")
+    df = spark.createDataFrame([(i, s, "") for i, s in enumerate("a" * 300 + "b" * 300)], "doc_id long, source string, text string")
     order = [r.source for r in mixing.mix_report(df, {"a": 3, "b": 1}).orderBy("position").collect()]
     for n in range(1, 390):
         assert abs(order[:n].count("a") - 0.75 * n) < 1.1
@@ -85,9 +77,8 @@ def test_exact_weights_on_long_runs(weights):
     exact = {u: Fraction(w) for u, w in enumerate(weights)}
     blocks = {u: 3_000 if u == 0 else 9 * (u + 1) if len(weights) > 3 else 5_000 // u for u in exact}
     place = {}
-    for u, first, end, base, k, j, at in mixing.schedule(blocks, dict(enumerate(weights))):
-        for b in range(first + j, end, k):
-            place[base + (b - first) // k * mixing.FRAME + at] = u
+    for u, _, t in mixing.planned((u, n, weights[u]) for u, n in blocks.items()):
+        place[t] = u
     ran = dict.fromkeys(blocks, 0)
     for slot in range(sum(blocks.values())):
         ran[place[slot]] += 1
@@ -98,7 +89,7 @@ def test_exact_weights_on_long_runs(weights):
 
 
 def test_schedule_is_the_same_without_broadcast(spark, monkeypatch):
-    df = spark.createDataFrame([(i, "abcd"[i % 7 % 4]) for i in range(2_000)], "doc_id long, source string")
+    df = spark.createDataFrame([(i, "abcd"[i % 7 % 4], None) for i in range(2_000)], "doc_id long, source string, text string")
     want = sorted(map(tuple, mixing.mix_report(df).collect()))
     monkeypatch.setattr(mixing, "BROADCAST_BLOCKS", 0)
     assert sorted(map(tuple, mixing.mix_report(df).collect())) == want
@@ -108,7 +99,8 @@ def test_many_sources_keep_their_own_weights(spark, monkeypatch):
     """With more than 256 sources each is scheduled by itself, and one without a weight runs after all others."""
     monkeypatch.setattr(mixing, "BLOCK_ROWS", 2)
     sources = [None, "hot", *(f"s{i}" for i in range(300))]
-    df = spark.createDataFrame([(1_000 * k + i, s) for k, s in enumerate(sources) for i in range(600 if s == "hot" else 2 + k % 4)], "doc_id long, source string")
+    rows = [(1_000 * k + i, s, f"text {i}") for k, s in enumerate(sources) for i in range(600 if s == "hot" else 2 + k % 4)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
     weights = {s: 0.0 if s == "s7" else 150.0 if s == "hot" else 0.5 for s in sources if s != "s9"}
     got = mixing.mix_report(df, weights).collect()
     assert len(got) == df.count() == len({r.position for r in got})

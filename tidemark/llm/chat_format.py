@@ -130,12 +130,13 @@ def read_back(formatted: Column, template: Template = INSTRUCT) -> Column:
 
 def format_digest(rows: DataFrame, template: Template = INSTRUCT) -> DataFrame:
     """What the formatted conversations hold, read back from them."""
-    said = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: s["text"]), "")
+    # The text of turn i is segment 3 i + 1; its loss flag picks what is read back.
+    said = F.array_join(F.transform(F.filter("turns", lambda t, i: F.get("segments", 3 * i + 1)["loss"]), lambda t: t["text"]), "")
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return (
         format_conversations(rows, template)
         .withColumn("turns", read_back(F.col("formatted"), template))
-        .withColumn("said", unescaped(said))
+        .withColumn("said", said)
         .select(
             "conv_id",
             F.size("turns").cast("long").alias("n_turns"),

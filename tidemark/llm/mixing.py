@@ -11,18 +11,20 @@ the mix runs. One task makes the schedule and hands it on as it goes: it holds t
 for each block. It is broadcast if it has at most BROADCAST_BLOCKS rows, else joined by source and block. Every source is
 scheduled by its own weight, however many there are.
 
-Within a source, rows are ordered by a hash of their id. Ranks come from small hash buckets plus the counts of the
-buckets before, so no source is ranked in one task.
-
-Edge cases: a null source is a source of its own; null and repeated doc_ids are rows like others, and rows that are
-equal in doc_id share the order of their texts; a target of 0 or none given for a source puts its rows after all
-others'; an empty table gives an empty table. No row is dropped.
+Within a source, rows are ordered by a hash of their id and text, so neither a null nor a repeated id gathers rows. Ranks
+come from small hash buckets plus the counts of the buckets before, so no source is ranked in one task; only rows that
+are equal in id and text share a bucket whatever their number.
+
+Edge cases: a null source is a source of its own; null and repeated doc_ids, null, empty and long texts are rows like
+others; rows that are equal in id and text may change places; equal deadlines go to the source first in order; a target
+of 0 or none given for a source puts its rows after all others'; other columns pass through, whatever their names; an
+empty table gives an empty table. No row is dropped.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from fractions import Fraction
 from itertools import batched
 from math import lcm
@@ -32,12 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.expr import quoted
 from tidemark.llm.common import bounded
 
 #: Slots that the schedule hands on at once.
-FRAME = 1024
-#: Nothing depends on the number of sources any more; the name stays for callers that set it.
-MAX_SOURCES = 256
+BATCH = 1024
 #: Rows in a block, and about the rows that are ranked in one task's sort at once.
 BLOCK_ROWS, BUCKET_ROWS = 64, 4_096
 #: Blocks of all sources up to which the schedule is broadcast, about 25 MB.
@@ -78,19 +79,6 @@ def planned(units: Iterable[tuple[Any, int, float]]) -> Iterator[tuple[Any, int,
     yield from ((u, i, base + t) for u, i, t in slots((u, n, 1) for u, n, w in units if not w > 0))
 
 
-def frame(shares: Mapping[int, int]) -> dict[int, list[int]]:
-    """For each unit, the slots in which its blocks run if it has as many as its whole weight."""
-    out: dict[int, list[int]] = {u: [] for u in shares}
-    for u, _, t in slots((u, shares[u], shares[u]) for u in sorted(shares)):
-        out[u].append(t)
-    return out
-
-
-def schedule(blocks: Mapping[int, int], weights: Mapping[int, float]) -> list[tuple[int, int, int, int, int, int, int]]:
-    """The mix as rows (unit, block, end block, slot, 1, 0, 0): runs of blocks, each of a single one."""
-    return [(u, i, i + 1, t, 1, 0, 0) for u, i, t in planned((u, n, weights.get(u, 0)) for u, n in blocks.items())]
-
-
 def _plan(units: DataFrame, given: dict[Any, float] | None) -> DataFrame:
     """The schedule (u, block, slot) of a table (u, blocks, w), made in one task; ``given`` weights replace w."""
 
@@ -101,7 +89,7 @@ def _plan(units: DataFrame, given: dict[Any, float] | None) -> DataFrame:
             own = zip(*(b.column(c).to_pylist() for c in ("u", "blocks", "w")), strict=True)
             rows += own if given is None else ((u, n, given.get(u, 0.0)) for u, n, _ in own)
         rows.sort(key=lambda r: (False,) if r[0] is None else (True, r[0]))
-        for part in batched(planned(rows), FRAME):
+        for part in batched(planned(rows), BATCH):
             u, block, slot = zip(*part, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(u, kind), pa.array(block, pa.int64()), pa.array(slot, pa.int64())], ["u", "block", "slot"])
 
@@ -115,10 +103,14 @@ def _joined(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right, F.col("u").eqNullSafe(F.col("__u")) & (F.col(key) == F.col("__key"))).drop("__u", "__key")
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", doc_id: str = "doc_id", text: str | None = None) -> DataFrame:
-    """Every row of ``docs`` as the struct ``row``, with its block (within its source), slot, and position in the mix.
+def mix(
+    docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", doc_id: str = "doc_id", text: str = "text",
+    carry: Sequence[str] | None = None,
+) -> DataFrame:
+    """Every row of ``docs`` as the struct ``row`` (of all columns, or those in ``carry``), with its block (within its
+    source), slot, and position in the mix.
 
-    Without weights, a source's target is the square root of its rows. ``text`` breaks ties of doc_id.
+    Without weights, a source's target is the square root of its rows.
     """
     given = None if weights is None else {k: float(w) for k, w in weights.items()}
     counts = docs.groupBy(F.col(source).alias("u")).agg(F.count(F.lit(1)).alias("n"))
@@ -128,11 +120,11 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, sour
         plan = F.broadcast(plan)
 
     buckets = F.lit(max(1, -(-(most or 1) // BUCKET_ROWS)))
-    key = F.xxhash64(doc_id)
-    ties = [F.col(doc_id).alias("id"), *([F.col(text).alias("tie")] if text else [])]
-    keyed = docs.select(F.struct("*").alias("row"), F.col(source).alias("u"), key.alias("key"), *ties)
+    key = F.xxhash64(doc_id, text)
+    row = F.struct(*(["*"] if carry is None else map(quoted, carry)))
+    keyed = docs.select(row.alias("row"), F.col(source).alias("u"), key.alias("key"), F.col(doc_id).alias("id"))
     keyed = keyed.withColumn("bucket", F.pmod("key", buckets).cast("int"))
-    inside = Window.partitionBy("u", "bucket").orderBy("key", "id", *(["tie"] if text else []))
+    inside = Window.partitionBy("u", "bucket").orderBy("key", "id")
     ranked = keyed.withColumn("rank", F.row_number().over(inside).cast("long") - 1)
     sums = docs.groupBy(F.col(source).alias("u"), F.pmod(key, buckets).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     before = sums.select("u", "bucket", (F.sum("n").over(Window.partitionBy("u").orderBy("bucket")) - F.col("n")).alias("before"))
@@ -143,9 +135,10 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, sour
 
 def mix_report(docs: DataFrame, weights: Mapping[str | None, float] | None = None) -> DataFrame:
     """Per document: doc_id, source, block (within its source), slot and position in the mix."""
-    return mix(docs.select("doc_id", "source"), weights).select("row.doc_id", "row.source", "block", "slot", "position")
+    return mix(docs, weights, carry=["doc_id", "source"]).select("row.doc_id", "row.source", "block", "slot", "position")
 
 
-def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None) -> DataFrame:
-    """``docs`` in the order of the mix."""
-    return mix(docs, weights, text="text").orderBy("position").select("row.*")
+def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, position: str | None = None) -> DataFrame:
+    """``docs`` in the order of the mix, with the place in it as a column ``position`` if it is to have a name."""
+    ordered = mix(docs, weights).orderBy("position")
+    return ordered.select("row.*", *([F.col("position").alias(position)] if position else []))
