@@ -3,8 +3,9 @@
 Vectors and queries are dealt into blocks of bounded size by hash. Each vector block is indexed by one cover tree, each
 query block by another, and every pair of blocks is one group of work: its two trees are searched together. A pair of
 nodes is pruned if no inner product between their points can beat the worst k-th score in the query node. With centres
-q and p, covering radii s and r, the bound is <q, p> + |q| r + |p| s + s r. Partial results of the vector blocks are
-merged by score, ties to the smaller id.
+q and p, covering radii s and r, the bound is <q, p> + |q| r + |p| s + s r. Each query block meets one vector block first,
+and the k-th scores found there are where pruning starts in all others. Partial results of the vector blocks are merged
+by score, ties to the smaller id.
 
 Components x become floor(256 x), x as double, and scores are exact integers: float64 products are, as long as no sum can
 reach 2**53; blocks with larger components use 80-bit numbers, exact up to 2**64. A score beyond the range of a long
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded
+from tidemark.llm.common import bounded, checkpointed
 
 #: Vectors and queries in a block, and points in a leaf.
 VECTOR_BLOCK, QUERY_BLOCK, LEAF = 16_384, 32_768, 128
@@ -99,11 +100,14 @@ class CoverTree:
                     at += n
 
 
-def search(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def search(
+    queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """The k best ids and scores for each query, by score and then id; missing ones have score -inf.
 
-    ``own`` has the place of each query among the vectors, or -1.
+    ``own`` has the place of each query among the vectors, or -1; below a query's ``floor``, scores needn't be found.
     """
+    floor = np.full(len(queries), -np.inf) if floor is None else floor
     best_score = np.full((len(queries), k), -np.inf, queries.dtype)
     best_id = np.full((len(queries), k), np.iinfo(np.int64).max)
     if not len(queries) or not len(vectors):
@@ -130,7 +134,8 @@ def search(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.nd
     while todo:
         a, b, most = todo.pop()
         # Equal scores with smaller ids still count, so a bound that is met is searched.
-        if most < best_score[q.order[slice(*q.span[a])], k - 1].min():
+        rows = q.order[slice(*q.span[a])]
+        if most < np.maximum(best_score[rows, k - 1], floor[rows]).min():
             continue
         if not q.children[a] and not v.children[b]:
             base(a, b)
@@ -168,7 +173,7 @@ def _found(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     n = int((~asks).sum())
     place = {key: i for i, key in enumerate(keys[:n])}
     own = np.array([place.get(key, -1) for key in keys[n:]], np.int64)
-    found, scores = search(values[asks], own, values[~asks], ids[~asks], k)
+    found, scores = search(values[asks], own, values[~asks], ids[~asks], k, rows["floor"].astype(np.float64).fillna(-np.inf).to_numpy()[asks])
     r, c = np.nonzero(np.isfinite(scores))
     top = np.iinfo(np.int64)
     score = np.clip(scores[r, c], values.dtype.type(top.min), values.dtype.type(top.max)) if values.dtype != np.float64 else scores[r, c]
@@ -183,9 +188,24 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
     v_blocks, q_blocks = -(-n_rows // VECTOR_BLOCK) or 1, -(-n_queries // QUERY_BLOCK) or 1
     place = F.xxhash64("vec_id", "h")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = rows.filter("asks").select(F.lit(True).alias("asks"), "vec_id", "v", "h", "size", F.pmod(place, F.lit(q_blocks)).alias("q"), every(v_blocks).alias("b"))
-    held = rows.select(F.lit(False).alias("asks"), "vec_id", "v", "h", "size", every(q_blocks).alias("q"), F.pmod(place, F.lit(v_blocks)).alias("b"))
-    pairs = bounded(asked.unionByName(held)).repartition(q_blocks * v_blocks, "size", "q", "b").groupBy("size", "q", "b")
-    parts = pairs.applyInPandas(lambda pdf: _found(pdf, k), "query_id long, h long, nth long, vec_id long, score long")
+    own = lambda n: F.pmod(place, F.lit(n)).cast("int")
+    asked = rows.filter("asks").select(F.lit(True).alias("asks"), "vec_id", "v", "h", "size", own(q_blocks).alias("q"), F.lit(None).cast("double").alias("floor"))
+    held = rows.select(F.lit(False).alias("asks"), "vec_id", "v", "h", "size", own(v_blocks).alias("b"), F.lit(None).cast("double").alias("floor"))
+
+    def met(asked: DataFrame, held: DataFrame, pairs: int) -> DataFrame:
+        groups = bounded(asked.unionByName(held)).repartition(pairs, "size", "q", "b").groupBy("size", "q", "b")
+        return groups.applyInPandas(lambda pdf: _found(pdf, k), "query_id long, h long, nth long, vec_id long, score long")
+
+    # Query block q meets vector block q mod v_blocks first.
+    start = F.pmod("q", F.lit(v_blocks))
+    parts = met(asked.withColumn("b", start), held.withColumn("q", every(q_blocks)).filter(F.col("b") == start), q_blocks)
+    if v_blocks > 1:
+        parts = checkpointed(parts)
+        # Rows that are equal in id and vector have the same scores.
+        floors = parts.groupBy("query_id", "h", "nth").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k)
+        floors = floors.groupBy(F.col("query_id").alias("vec_id"), "h").agg(F.min("least").cast("double").alias("least"))
+        told = asked.join(floors, ["vec_id", "h"], "left").withColumn("floor", F.col("least")).drop("least").withColumn("b", every(v_blocks))
+        rest = met(told.filter(F.col("b") != start), held.withColumn("q", every(q_blocks)).filter(F.col("b") != start), q_blocks * v_blocks)
+        parts = parts.unionByName(rest)
     rank = F.row_number().over(Window.partitionBy("query_id", "h", "nth").orderBy(F.desc("score"), "vec_id")).cast("int")
     return parts.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
