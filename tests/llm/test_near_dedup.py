@@ -122,3 +122,15 @@ def test_long_texts_ties_and_hashes(spark):
     rows = [(1, " ".join(long)), (2, " ".join(long[:-50])), (3, " ".join(tie)), (4, " ".join([*tie[:-1], "x"])), (5, " ".join(below)), (6, " ".join([*below[:-1], "y"])), (7, a), (8, b)]
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6, 7: 7, 8: 8}
+
+
+@pytest.mark.parametrize("most", [15, 29])
+def test_bitmap_lets_all_wanted_ids_through(spark, monkeypatch, most):
+    monkeypatch.setattr(near_dedup, "MOST_BITS", most)
+    docs = spark.range(-20_000, 60_000).selectExpr("id AS doc_id", "'t' AS text")
+    ids = spark.range(-3000, 30_000, 7).withColumnRenamed("id", "doc_id")
+    some, rest = near_dedup.parted(docs, ids)
+    got, want = {r.doc_id for r in some.collect()}, set(range(-3000, 30_000, 7))
+    assert want <= got and len(got) < len(want) + (80_000 if most == 15 else 8_000)
+    assert {r.doc_id for r in rest.collect()} == set(range(-20_000, 60_000)) - got
+    assert [x.count() for x in near_dedup.parted(docs, ids.limit(0))] == [0, 80_000]

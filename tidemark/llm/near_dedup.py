@@ -43,6 +43,8 @@ HASHES = BANDS * BAND_ROWS
 ESTIMATE = 0.6
 #: Classes of a bucket that are compared at once when its components are.
 BLOCK = 256
+#: Bits of the bitmap for each id, and the most of it as a power of two.
+SPARE, MOST_BITS = 16, 29
 #: Partners of a class whose sets are met in one place.
 PART = 4096
 #: Best partners of a class in each other component, by round; the last round takes all.
@@ -211,7 +213,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     rows = reps.select("doc_id", F.explode("bands").alias("key"))
     buckets = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = checkpointed(rows.join(buckets, "key").distinct())
-    some = shared.select("doc_id").distinct()
+    some = checkpointed(shared.select("doc_id").distinct())
     facts = checkpointed(reps.select("doc_id", "n_shingles", "signature").join(some, "doc_id", "left_semi"))
     sets = placed(_sets(docs, some, words), "doc_id")
     sweep(docs.sparkSession)
@@ -243,10 +245,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with the smallest doc_id of each group of near duplicates; of rows that share it, the first by text."""
     found = checkpointed(near_duplicates(docs, words, percent))
-    gone = found.filter("not kept").select("doc_id").distinct()
+    gone = checkpointed(found.filter("not kept").select("doc_id").distinct())
     again = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     names = [quoted(c) for c in docs.columns]
-    left = docs.join(gone, "doc_id", "left_anti").select(*names)
+    doubtful, clear = parted(docs, gone)
+    left = doubtful.join(gone, "doc_id", "left_anti").select(*names).unionByName(clear)
     if again.isEmpty():
         return left
     repeated = left.join(again, "doc_id", "left_semi").select(F.struct(*names).alias("row"))
@@ -255,6 +258,23 @@ def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     return left.join(again, "doc_id", "left_anti").select(*names).unionByName(first)
 
 
+def parted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` whose doc_id is in ``ids`` with a few others, and the rest, by a bitmap of hashed ids.
+
+    It keeps texts out of the shuffles of exact joins that don't concern them. The bitmap has SPARE bits for each id, 64 MB
+    at most, and is broadcast in pieces of 4 kB; with more ids than that, more of the others are in the first part.
+    """
+    bits = 1 << min(MOST_BITS, max(15, (SPARE * ids.count()).bit_length()))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    piece, place = F.bitmap_bucket_number(slot), F.bitmap_bit_position(slot)
+    pieces = ids.select(piece.alias("__piece"), place.alias("__place")).groupBy("__piece").agg(F.bitmap_construct_agg("__place").alias("__bits"))
+    byte = F.conv(F.hex(F.expr("substring(__bits, int(__place div 8) + 1, 1)")), 16, 10).cast("int")
+    told = docs.withColumn("__piece", piece).withColumn("__place", place).join(F.broadcast(pieces), "__piece", "left")
+    hit = F.coalesce(F.getbit(byte, (F.col("__place") % 8).cast("int")) == 1, F.lit(False))
+    names = [quoted(c) for c in docs.columns]
+    return told.filter(hit).select(*names), told.filter(~hit).select(*names)
+
+
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """The full sets of some documents, one for each id."""
 
@@ -265,7 +285,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             flat = np.concatenate(sets).view(np.int64)
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "shingles": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))})
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    own = parted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids)[0].join(ids, "doc_id", "left_semi")
     return bounded(own).mapInArrow(run, "doc_id long, shingles array<long>").filter("size(shingles) > 0")
 
 
