@@ -7,10 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.expr import clean, quoted
+from tidemark.functions.expr import clean, is_pm1, quoted
 from tidemark.operators.base import Fitted, Learner, numeric_columns, require
 
 
+def all_pm1(df: DataFrame, names: Sequence[str]) -> dict[str, bool]:
+    """Whether every value of each column is -1 or 1, in one aggregate; such columns need no scaling."""
+    row = df.agg(*(F.bool_and(F.coalesce(is_pm1(quoted(n)), F.lit(False))).alias(f"c{i}") for i, n in enumerate(names))).first() if names else ()
+    return {n: bool(v) for n, v in zip(names, row, strict=True)}
+
+
 class StandardScaler(Learner):
     """Learns mean and deviation of each feature."""
 

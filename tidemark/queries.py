@@ -13,11 +13,12 @@ from tidemark.functions import expr, naming
 from tidemark.operators import folds, metrics, polish
 from tidemark.operators.classifier import CriticalRangeClassifier
 from tidemark.operators.dedupe import DuplicateColumnConsolidator
-from tidemark.operators.logistic_cv import L1LogisticCV, L1LogisticModel, choose
+from tidemark.operators.logistic_cv import L1LogisticCV, L1LogisticModel, choose, grid
 from tidemark.operators.rectify import Limit, Rectifier, RectifierModel
-from tidemark.operators.scale import StandardScaler
+from tidemark.operators.scale import StandardScaler, all_pm1
 from tidemark.plans.experiments import ExperimentConfig, run_experiments
-from tidemark.sources.persist import limits_json, parsed_limits
+from tidemark.sources import frames
+from tidemark.sources.persist import limits_json, load_model, parsed_limits, save_model
 from tidemark.streaming.score import append_to, apply
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,6 +110,17 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _limits(spark, sf_dir, sdfilter=None, snap=None, quantile_bounds=(0.05, 0.95), wide=0)
 
 
+@query("rectifier_no_positives", "SELECT feature AS \"group\", feature, pos, NULL::DOUBLE AS lo, NULL::DOUBLE AS hi FROM (VALUES " + ", ".join(f"('{f}', {i})" for i, f in enumerate(FEATURES)) + ") AS v(feature, pos)")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = _lineitem(spark, sf_dir, "false")
+    return Rectifier(labelCol="label", featureCols=FEATURES).fit(frame).limits_table(spark)
+
+
+@query("rectifier_exclusions", f"SELECT * REPLACE (CASE WHEN pos > 2 THEN pos - 1 ELSE pos END AS pos) FROM ({_limits_sql(1.0)}) WHERE feature <> 'l_discount'")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _limits(spark, sf_dir, sdfilter=1.0, snap=None, exclude_features=["l_discount"])
+
+
 @query("limits_json_roundtrip", f'SELECT "group", feature, lo, hi FROM ({_limits_sql(1.0, snap=0.21)})')
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = Rectifier(labelCol="label", featureCols=FEATURES, sdfilter=1.0, snap=0.21).fit(_lineitem(spark, sf_dir))
@@ -216,6 +228,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([tuple(r.values()) for r in reports], "mode string, expansion string, input_features long, fit_features long, duplicate_groups long, duplicate_cols_removed long, cross_group_alias_classes long")
 
 
+@query("duplicate_representatives", f"SELECT event_id, {', '.join(f'{n}::INTEGER AS {n}' for n in ('P1_A_1', 'P2_B_1', 'P3_C_1'))} FROM (SELECT event_id, {_COPIES_SQL} FROM events)")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = _copies(spark, sf_dir)
+    return _consolidated(spark, sf_dir, "within_group").transform(frame).select("event_id", *(F.col(n).cast("int") for n in ("P1_A_1", "P2_B_1", "P3_C_1")))
+
+
 _COEF = {"P1_A_1": 6.0, "P2_B_1": 4.0, "P3_C_1": 2.0}
 for _how, _share in (("split_evenly", "count(*) OVER (PARTITION BY class_id)"), ("representative_only", "1")):
     query(
@@ -233,6 +251,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return StandardScaler(featureCols=["value"]).fit(frame).transform(frame).withColumn("value", F.round("value", 6))
 
 
+@query("pm1_columns", f"SELECT * FROM (SELECT 'P1_A_1' AS feature, true AS pm1 UNION ALL SELECT 'value', bool_and(value IN (-1, 1)) FROM events UNION ALL SELECT 'sign', bool_and(sign(value - 100) IN (-1, 1)) FROM events)")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = _read(spark, sf_dir, "events").select("value", F.expr("CASE WHEN value > 50 THEN 1 ELSE -1 END").alias("P1_A_1"), F.signum(F.col("value") - 100).alias("sign"))
+    return spark.createDataFrame(list(all_pm1(frame, ["P1_A_1", "value", "sign"]).items()), "feature string, pm1 boolean")
+
+
 @query(
     "sigmoid_softplus_logloss",
     """WITH z AS (SELECT (value - 100) / 5 AS z, (event_type = 'purchase')::INTEGER AS y FROM events)
@@ -392,6 +416,27 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _polished(spark, sf_dir, intercept="maxj")
 
 
+_BEST_SQL = f"""
+    WITH v AS (SELECT k, 10 * vote AS s, pos, n FROM ({_VOTES_SQL})), t AS ({_SUMS_SQL}),
+    j AS (SELECT k, c.s AS thr, sum(CASE WHEN v.s >= c.s THEN pos / p ELSE (n - pos) / q END) - 1 AS j FROM (SELECT k, s FROM v) c JOIN v USING (k) JOIN t USING (k) GROUP BY k, c.s),
+    best AS (SELECT k, max(round(j, 12)) AS j FROM j GROUP BY k),
+    j0 AS (SELECT tp / (tp + fn) + tn / (tn + fp) - 1 AS j0 FROM (SELECT {_COUNTS_SQL} FROM (SELECT {RULE} AS y, {_P_SQL} >= 0.5 AS p FROM lineitem)))"""
+
+
+@query("polish_choice", f"{_BEST_SQL} SELECT round(j0, 6) AS j0, (SELECT k FROM best ORDER BY j DESC, k LIMIT 1)::INTEGER AS k_chosen, round((SELECT max(j) FROM best), 6) AS j_chosen, (SELECT max(j) FROM best) >= 0.99 * j0 AS adopted FROM j0")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base J, the k with the highest J, and whether the rule is adopted."""
+    d = polish.polish(_patterns(spark, sf_dir), WEIGHTS, INTERCEPT, "label", polish.Policy(intercept="maxj")).diag
+    return spark.createDataFrame([(round(d["J0"], 6), d["k_chosen"], round(d["J_chosen"], 6), d["adopted"])], "j0 double, k_chosen int, j_chosen double, adopted boolean")
+
+
+@query("polish_scales", f"{_BEST_SQL} SELECT scale, round((SELECT max(j) FROM best), 6) AS j FROM (VALUES (2.0::DOUBLE), (10.0)) AS s(scale)")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best J of each scale; thresholds of the highest J scale along, so it is the same."""
+    found = polish.polish(_patterns(spark, sf_dir), WEIGHTS, INTERCEPT, "label", polish.Policy(intercept="maxj"), [2.0, 10.0])
+    return found.scales_table(spark).select("scale", F.round("J", 6).alias("j"))
+
+
 _SERIES = [0.2, 0.5, 0.6, 0.4, 0.3, 0.45, 0.7, 0.65]
 
 
@@ -438,10 +483,10 @@ _FIT_SQL = f"""
         SELECT w.fold::INTEGER AS fold, path_pos, c, avg(ln(1 + exp(b + w * x)) - y * (b + w * x)) AS val_loss FROM w JOIN x ON x.fold = w.fold GROUP BY ALL)"""
 
 
-def _fit_one(spark: SparkSession, sf_dir: str):
+def _fit_one(spark: SparkSession, sf_dir: str, **params: object):
     frame = _read(spark, sf_dir, "events").select("event_id", "value", F.expr(f"int({_FIT_LABEL})").alias("label"))
     marked = RectifierModel([Limit("value", "value", 0, 50.0, 120.0)]).transform(folds.key_folds(frame, "event_id", 3))
-    return L1LogisticCV(featureCols=["value"], labelCol="label", foldCol="fold", Cs=_FIT_C, cv=3, tol=1e-6).fit(marked)
+    return L1LogisticCV(featureCols=["value"], labelCol="label", foldCol="fold", **({"Cs": _FIT_C, "cv": 3, "tol": 1e-6} | params)).fit(marked)
 
 
 @query("fit_l1_losses", f"{_FIT_SQL} SELECT fold, path_pos, c, round(val_loss, 6) AS val_loss FROM l")
@@ -449,6 +494,40 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fit_one(spark, sf_dir).losses_table(spark).withColumn("val_loss", F.round("val_loss", 6)).withColumnRenamed("C", "c")
 
 
+_CHOSEN_SQL = f"""{_FIT_SQL}, m AS (SELECT path_pos, avg(val_loss) AS mean FROM l GROUP BY path_pos),
+    best AS (SELECT c, w, b FROM w WHERE fold = 3 AND path_pos = (SELECT path_pos FROM m ORDER BY mean, path_pos LIMIT 1))"""
+_SOLVED = ["cd", "saga", "liblinear", "fista", "hybrid", "mllib"]
+
+
+@query("fit_l1_solvers", f"{_CHOSEN_SQL} SELECT solver, round(w, 3) AS coef, round(b, 3) AS intercept FROM best, (VALUES {', '.join(f'({chr(39)}{n}{chr(39)})' for n in _SOLVED)}) AS s(solver)")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same optimum by every solver, and by distributed fits as for large designs."""
+    rows = []
+    for name in _SOLVED:
+        params = {"pattern_limit": 0} if name == "mllib" else {"solver": name, "tol": 1e-9}
+        model = _fit_one(spark, sf_dir, **params)
+        rows.append((name, round(model.coef["value"], 3), round(model.intercept, 3)))
+    return spark.createDataFrame(rows, "solver string, coef double, intercept double")
+
+
+@query("fit_l1_zero_clamp", f"{_CHOSEN_SQL} SELECT 0.0::DOUBLE AS coef, round(b, 4) AS intercept FROM best")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = _fit_one(spark, sf_dir, zero_clamp=99.0)
+    return spark.createDataFrame([(model.coef["value"], round(model.intercept, 4))], "coef double, intercept double")
+
+
+@query("fit_base_rate", f"SELECT 0.0::DOUBLE AS coef, round(ln(r / (1 - r)), 6) AS intercept FROM (SELECT avg(({_FIT_LABEL})::INTEGER) AS r FROM events)")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Under a penalty that leaves no weight, the intercept is the log-odds of the label."""
+    model = _fit_one(spark, sf_dir, Cs=[1e-7])
+    return spark.createDataFrame([(model.coef["value"], round(model.intercept, 6))], "coef double, intercept double")
+
+
+@query("penalty_grid", "SELECT i::INTEGER AS path_pos, 10.0 ** (2 * i - 4) AS c FROM range(5) AS r(i)")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(grid(5))), "path_pos int, c double")
+
+
 @query("fit_l1_coef", f"""{_FIT_SQL}, m AS (SELECT path_pos, avg(val_loss) AS mean FROM l GROUP BY path_pos)
     SELECT c, round(w, 4) AS coef, round(b, 4) AS intercept FROM w WHERE fold = 3 AND path_pos = (SELECT path_pos FROM m ORDER BY mean, path_pos LIMIT 1)""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -507,8 +586,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("experiment_grid")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = _read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", (F.col("o_custkey") % 10).cast("double").alias("digit"), F.expr("int(o_totalprice BETWEEN 100000 AND 200000 AND o_custkey % 10 < 5)").alias("label"))
-    grid = [ExperimentConfig(seed=s, logic_intercept=i) for s, i in ((1, "mean"), (1, "maxj"), (2, "mofk"))]
-    return run_experiments(frame, "label", "o_orderkey", grid, Cs=5, cv=3)
+    configs = [ExperimentConfig(seed=s, logic_intercept=i) for s, i in ((1, "mean"), (1, "maxj"), (2, "mofk"))]
+    return run_experiments(frame, "label", "o_orderkey", configs, Cs=5, cv=3)
 
 
 _STREAM_X = "CASE WHEN value < 50 OR value > 120 THEN -1 ELSE 1 END::TINYINT"
@@ -516,12 +595,7 @@ _STREAM_X = "CASE WHEN value < 50 OR value > 120 THEN -1 ELSE 1 END::TINYINT"
 
 @query("stream_rectify_score", f"SELECT event_id, value, round(1 / (1 + exp(-(0.75 * value - 0.5))), 6) AS p1, (0.75 * value - 0.5 >= 0)::INTEGER AS prediction FROM (SELECT event_id, {_STREAM_X} AS value FROM events)")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        shared = tempfile.gettempdir()
-    place = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    place = _place(spark, "stream")
     schema = _read(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).select("event_id", "value")
     marked = apply(stream, RectifierModel([Limit("value", "value", 0, 50.0, 120.0)]))
@@ -531,6 +605,32 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{place}/out")
 
 
+def _place(spark: SparkSession, name: str) -> str:
+    """A new folder for a query's files in the shared folder of the session."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.gettempdir()
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("csv_roundtrip", "SELECT n_nationkey::INTEGER AS n_nationkey, n_name, n_regionkey::INTEGER AS n_regionkey FROM nation")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = _place(spark, "csv")
+    frames.write_csv(_read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), place)
+    return frames.read_csv(spark, place).select(F.col("n_nationkey").cast("int"), "n_name", F.col("n_regionkey").cast("int"))
+
+
+@query("model_roundtrip", f"SELECT l_orderkey, l_linenumber, ({RULE})::INTEGER AS prediction FROM lineitem")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole classifier, saved, loaded and applied: it has found the rule that made the label."""
+    frame, place = _lineitem(spark, sf_dir, RULE), _place(spark, "model")
+    model = CriticalRangeClassifier(labelCol="label", featureCols=FEATURES, Cs=7, logic_polish=True, logic_intercept="maxj").fit(frame)
+    save_model(spark, model, place)
+    return load_model(spark, place).transform(frame).select("l_orderkey", "l_linenumber", "prediction")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learn a classifier of a rule over lineitem and score every row with it."""
     frame = _lineitem(spark, sf_dir, RULE)
