@@ -30,6 +30,8 @@ log = logging.getLogger(__name__)
 
 #: Distinct patterns that one group holds, and numbers in them: 64 MB.
 PATTERN_LIMIT, CELLS = 200_000, 8_000_000
+#: Numbers in a partition of a distributed fit.
+PART_CELLS = 1_000_000
 
 
 def grid(cs: int | Sequence[float]) -> list[float]:
@@ -115,7 +117,7 @@ class L1LogisticCV(Learner):
             if seen[1] not in (0, 1) or seen[2] not in (0, 1) or seen[4]:
                 raise ValueError("labels must be 0 or 1")
             if seen[0] > min(v.pattern_limit, CELLS // (len(names) + n_folds + 1)):
-                return self._by_mllib(patterns, names, path)
+                return self._by_mllib(patterns, names, path, seen[0])
             paths, refit = SOLVERS[v.solver]
             tol, max_iter = v.tol, v.max_iter
 
@@ -154,12 +156,13 @@ class L1LogisticCV(Learner):
         coef = [0.0 if abs(w) <= v.zero_clamp else w for w in coef]
         return L1LogisticModel(dict(zip(names, coef, strict=True)), intercept, path[best], path, losses, v.solver, v.cv_rule, v.zero_clamp)
 
-    def _by_mllib(self, patterns: DataFrame, names: Sequence[str], path: list[float]) -> L1LogisticModel:
-        """The same by distributed fits on the weighted patterns."""
+    def _by_mllib(self, patterns: DataFrame, names: Sequence[str], path: list[float], n_patterns: int) -> L1LogisticModel:
+        """The same by distributed fits on the weighted patterns, in no more partitions than they fill."""
         v = self.values()
         total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c)
         held = lambda f: F.get("counts", F.lit(f)) if f is not None else F.lit(0).cast("long")
-        data = patterns.select(array_to_vector("x").alias("__x"), F.col("y").cast("double").alias("__y"), "counts", total.alias("__n")).persist(StorageLevel.MEMORY_AND_DISK)
+        data = patterns.select(array_to_vector("x").alias("__x"), F.col("y").cast("double").alias("__y"), "counts", total.alias("__n"))
+        data = data.coalesce(1 + n_patterns * (len(names) + v.cv) // PART_CELLS).persist(StorageLevel.MEMORY_AND_DISK)
 
         def fit(held_out: int | None, c: float) -> tuple[dict[str, float], float, LRModel | None]:
             part = data.withColumn("__w", (F.col("__n") - held(held_out)).cast("double")).filter("__w > 0")
