@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Approximate quantiles of a round, and values that are read off at once.
-GRID, SMALL = 256, 2_000
+GRID, SMALL = 256, 5_000
 
 Each = Callable[[Callable[[Column, Column, "int | None"], dict[str, Column]], Mapping[str, Sequence]], list[dict]]
 
