@@ -6,12 +6,13 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
-from tidemark.operators import classifier, polish
+from tidemark.operators import classifier, metrics, polish
 from tidemark.operators.classifier import CriticalRangeClassifier, CriticalRangeModel
 from tidemark.operators.dedupe import DuplicateColumnConsolidator
 from tidemark.operators.logistic_cv import L1LogisticCV
 from tidemark.operators.rectify import Rectifier
 from tidemark.operators.scale import StandardScaler
+from tidemark.plans import experiments
 from tidemark.plans.experiments import ExperimentConfig, run_experiments
 from tidemark.sources import frames, persist
 from tidemark.streaming.score import append_to, apply
@@ -135,9 +136,16 @@ def test_bad_settings(spark):
             CriticalRangeClassifier(labelCol="y", **bad).fit(twins(spark))
 
 
-def test_experiments(spark):
-    out = run_experiments(windows(spark), "y", "id", [ExperimentConfig(logic_intercept="maxj"), ExperimentConfig(seed=2, train_frac=0.5, logic_target=2.0)], Cs=3, cv=2).collect()
+def test_experiments(spark, monkeypatch):
+    """Measured on the driver or distributed, with the same results."""
+    configs = [ExperimentConfig(logic_intercept="maxj"), ExperimentConfig(seed=2, train_frac=0.5, logic_target=2.0)]
+    out = run_experiments(windows(spark), "y", "id", configs, Cs=3, cv=2).collect()
     assert len(out) == 2 and not out[1].adopted and 0.5 < out[0].auc_test <= 1
+    monkeypatch.setattr(experiments, "HISTOGRAM_ROWS", 0)
+    again = run_experiments(windows(spark), "y", "id", configs, Cs=3, cv=2).collect()
+    for a, b in zip(out, again, strict=True):
+        assert [a[n] for n in ("J_train", "J_test", "auc_train", "auc_test")] == pytest.approx([b[n] for n in ("J_train", "J_test", "auc_train", "auc_test")])
+    assert metrics.measures([(1.0, 0.5, 1, 3)]) == (0.0, None)
 
 
 def test_stream(spark, tmp_path):

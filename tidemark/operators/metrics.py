@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +40,17 @@ def youden_table(df: DataFrame, label: str, pred: Column | str) -> DataFrame:
     return confusion(df, label, pred).withColumn("j", rate("tp", "fn") + rate("tn", "fp") - 1)
 
 
+def measures(rows: Sequence[tuple[float, float, int, int]]) -> tuple[float, float | None]:
+    """J and AUC (None unless both classes occur) of rows (label, score, prediction, number of rows) on the driver."""
+    y, score, hit, n = (np.array([r[i] for r in rows], np.float64) for i in range(4))
+    pos, hit = y != 0, hit != 0
+    j = youden(*(float(n[part].sum()) for part in (pos & hit, pos & ~hit, ~pos & ~hit, ~pos & hit)))
+    values, at = np.unique(score, return_inverse=True)
+    p, q = np.bincount(at, n * (y == 1), len(values)), np.bincount(at, n * (y == 0), len(values))
+    pairs = p.sum() * q.sum()
+    return j, float(p @ (np.cumsum(q) - q / 2) / pairs) if pairs else None
+
+
 def roc_auc_table(df: DataFrame, label: str, score: str, weight: str | None = None) -> DataFrame:
     """One row (auc, positives, negatives); auc is NULL unless both classes occur. Ties count half.
 

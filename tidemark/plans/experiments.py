@@ -15,6 +15,10 @@ from tidemark.operators.folds import split_column
 from tidemark.operators.polish import Policy
 
 
+#: Distinct scores by part and label that are measured on the driver; beyond, the same measures are distributed.
+HISTOGRAM_ROWS = 50_000
+
+
 @dataclass(frozen=True)
 class ExperimentConfig:
     """One experiment's split and polish settings."""
@@ -70,9 +74,15 @@ def _run(df: DataFrame, label: str, row_id: str, configs: Sequence[ExperimentCon
             model = base.polished(patterns.filter(part), _policy(c, settings), stage, (), count)
             scored = patterns.withColumn("p1", model.probability(raw=False)).withColumn("prediction", (F.col("p1") >= 0.5).cast("int"))
             row: dict[str, object] = {**c.__dict__, "adopted": bool(model.diag.get("adopted")), "k_chosen": model.diag.get("k_chosen")}
-            for name, rows in (("train", scored.filter(part)), ("test", scored.filter(f"not {part}"))):
-                row[f"J_{name}"] = metrics.youden_j(rows, label, "prediction", count)
-                row[f"auc_{name}"] = metrics.roc_auc_table(rows, label, "p1", count).first()["auc"]
+            grouped = scored.groupBy(part, quoted(label).cast("double").alias("y"), "p1", "prediction").agg(F.sum(count).alias("n"))
+            found = grouped.limit(HISTOGRAM_ROWS + 1).collect()
+            for name, first in (("train", True), ("test", False)):
+                if len(found) <= HISTOGRAM_ROWS:
+                    j, auc = metrics.measures([(r.y, r.p1, r.prediction, r.n) for r in found if r[part] == first])
+                else:
+                    rows = scored.filter(F.col(part) == first)
+                    j, auc = metrics.youden_j(rows, label, "prediction", count), metrics.roc_auc_table(rows, label, "p1", count).first()["auc"]
+                row |= {f"J_{name}": j, f"auc_{name}": auc}
             out.append((row, model))
         return out
     finally:
