@@ -609,7 +609,7 @@ def _place(spark: SparkSession, name: str) -> str:
     """A new folder for a query's files in the shared folder of the session."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         shared = tempfile.gettempdir()
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
