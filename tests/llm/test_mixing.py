@@ -118,3 +118,11 @@ def test_many_sources_keep_their_own_weights(spark, monkeypatch):
         if slot % 60 == 0:
             due = ideal(blocks, {s: Fraction(weights[s]) for s in blocks}, Fraction(slot + 1))
             assert all(abs(ran[s] - due[s]) < 1 for s in blocks)
+
+
+def test_texts_move_twice(spark):
+    """Once to be ranked and once into the order of the mix, whatever Spark knows of the table's size; no join moves them again."""
+    df = spark.createDataFrame([(i, [None, "a", "b"][i % 3], f"text {i}") for i in range(300)], "doc_id long, source string, text string").checkpoint()
+    plan = mixing.mixed(df)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastNestedLoop" not in plan
+    assert plan.count("Window [row_number") == 1

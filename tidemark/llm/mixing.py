@@ -124,11 +124,13 @@ def mix(
     row = F.struct(*(["*"] if carry is None else map(quoted, carry)))
     keyed = docs.select(row.alias("row"), F.col(source).alias("u"), key.alias("key"), F.col(doc_id).alias("id"))
     keyed = keyed.withColumn("bucket", F.pmod("key", buckets).cast("int"))
-    inside = Window.partitionBy("u", "bucket").orderBy("key", "id")
-    ranked = keyed.withColumn("rank", F.row_number().over(inside).cast("long") - 1)
     sums = docs.groupBy(F.col(source).alias("u"), F.pmod(key, buckets).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     before = sums.select("u", "bucket", (F.sum("n").over(Window.partitionBy("u").orderBy("bucket")) - F.col("n")).alias("before"))
-    ranked = _joined(ranked, before, "bucket").withColumn("rank", F.col("rank") + F.col("before")).withColumn("block", F.floor(F.col("rank") / BLOCK_ROWS))
+    # A bucket's count comes into its window as a first row: a join by a source that may be null would shuffle the texts again.
+    inside = Window.partitionBy("u", "bucket").orderBy(F.col("before").isNull(), "key", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = keyed.unionByName(before, allowMissingColumns=True)
+    ranked = both.withColumn("rank", F.row_number().over(inside).cast("long") - 2 + F.max("before").over(inside)).filter(F.col("before").isNull())
+    ranked = ranked.withColumn("block", F.floor(F.col("rank") / BLOCK_ROWS))
     placed = _joined(ranked, plan, "block")
     return placed.select("row", "block", "slot", (F.col("slot") * BLOCK_ROWS + F.col("rank") % BLOCK_ROWS).alias("position"))
 
