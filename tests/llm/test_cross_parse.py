@@ -115,3 +115,52 @@ def test_without_a_reference(spark):
     assert all(r.n_phrases == r.n_words for r in Z.cross_parse(df, none).collect())
     assert Z.cross_parse(df.limit(0)).count() == 0
     assert [r.n_phrases for r in Z.cross_parse(df.filter("doc_id = 44")).collect()] == [300]
+
+
+def edited_copies():
+    """Copies with edits, pieces that overlap in many words, repeats inside a text, and rows that are equal."""
+    rng = random.Random(8)
+    base = [[f"{c}{rng.randint(0, 60)}" for _ in range(n)] for c, n in zip("abc", (150, 70, 40), strict=True)]
+    texts = []
+    for _ in range(40):
+        t = list(rng.choice(base))
+        for _ in range(rng.randint(0, 4)):
+            t[rng.randrange(len(t))] = f"u{rng.randint(0, 3)}"
+        start = rng.randrange(len(t) // 2)
+        texts.append(t[start : start + rng.randint(1, 150)] + rng.choice([[], rng.choice(base)[rng.randint(0, 30) :]]))
+    return [*texts, texts[0], texts[0], ["w"] * 60, ["w"] * 40, base[2] * 3, base[2] * 2, []]
+
+
+@pytest.mark.parametrize("sizes", [(300, 40), (1 << 20, 1 << 19)])
+@pytest.mark.parametrize("depth", [2, 3, 8])
+@pytest.mark.parametrize("trusting", [False, True])
+def test_exact_matches_of_any_length(spark, monkeypatch, sizes, depth, trusting):
+    monkeypatch.setattr(Z, "BLOCK_BYTES", sizes[0])
+    monkeypatch.setattr(Z, "BUCKET_RUNS", sizes[1])
+    monkeypatch.setattr(Z, "DEPTH", depth)
+    texts = edited_copies()
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    sure = [i for i in range(len(texts)) if not trusting or i % 3]
+    got = {r.doc_id: r.n_phrases for r in Z.cross_parse(df, df.filter("doc_id % 3 > 0") if trusting else None, exact=True).collect()}
+    padded = [f" {' '.join(t)} " for t in texts]
+
+    def longest(i):
+        out, others = [], "\n".join(padded[j] for j in sure if j != i)
+        for a in range(len(texts[i])):
+            n = 1
+            while a + n < len(texts[i]) and f" {' '.join(texts[i][a : a + n + 1])} " in others:
+                n += 1
+            out.append(n)
+        return out
+
+    assert got == {i: brute_phrases(longest(i)) for i in range(len(texts))}
+
+
+def test_query_joins_no_matches(spark, tmp_path):
+    """Ten words of one document and ten of another that share eight are no match of twelve."""
+    from tidemark.llm import queries
+
+    words = [f"p{i}" for i in range(12)]
+    rows = [(0, " ".join(words)), (1, " ".join([*words[:10], "x"])), (2, " ".join(["y", *words[2:]]))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.n_phrases for r in queries.op9_cross_parse(spark, str(tmp_path)).collect()} == {0: 2, 1: 2, 2: 2}

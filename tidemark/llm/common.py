@@ -97,16 +97,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def placed(df: DataFrame, key: str) -> DataFrame:
+def placed(df: DataFrame, key: str, parts: int | None = None) -> DataFrame:
     """``df`` checkpointed in partitions by ``key``, which later joins and groups by the key find in place.
 
+    There are ``parts`` of them, or as many as the session's shuffles have.
+
     An adaptive plan doesn't report its partitions to a checkpoint, so this one plan is not adaptive.
     """
     conf, adaptive = df.sparkSession.conf, "spark.sql.adaptive.enabled"
     before = conf.get(adaptive)
     conf.set(adaptive, False)
     try:
-        return checkpointed(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), key))
+        return checkpointed(df.repartition(parts or int(conf.get("spark.sql.shuffle.partitions")), key))
     finally:
         conf.set(adaptive, before)
 
