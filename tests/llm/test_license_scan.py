@@ -1,3 +1,4 @@
+import random
 import re
 import textwrap
 
@@ -114,3 +115,23 @@ def test_threshold():
     assert S.best_threshold([(0.1, 0), (0.2, 0), (0.4, 1), (0.9, 1)]) == pytest.approx(0.3)
     assert S.best_threshold([(0.1, 0), (0.99, 0), (0.98, 1), (0.97, 1), (0.5, 0)]) == pytest.approx(0.735)
     assert S.best_threshold([(0.001, 0), (0.002, 1)]) == 0.05 and S.best_threshold([]) == 0.5
+
+
+def test_every_passage_counts(spark, monkeypatch):
+    """All distinct passages without a template are trained on or calibrated with, however many there are."""
+    monkeypatch.setattr(S, "NEGATIVES", 3)
+    rng, vocab = random.Random(2), S.vocabulary()
+    rows = [(i, " ".join(rng.sample(vocab, rng.randint(1, 6)))) for i in range(150)]
+    found = S.passages(spark.createDataFrame(rows, "doc_id long, text string"), vocab)
+    share = lambda g: max(len(set(g) & set(S.pairs_of(t))) / len(set(S.pairs_of(t))) for t in [*sum(S.TEMPLATES.values(), ()), *S._parts(S.OTHERS)[0]])
+    plain = {g for r in found.collect() if share(g := tuple(r.grams)) < S.CONFIRM}
+    fitted, seen = S.LogisticRegression.fit, []
+    monkeypatch.setattr(S.LogisticRegression, "fit", lambda self, df: seen.append(df) or fitted(self, df))
+    model = S.LicenseModel.fit(spark, found)
+    corpus = {tuple(r.grams): r.weight for r in seen[0].collect() if r.weight < 1}
+    kept = plain - set(corpus)
+    assert set(corpus) < plain and len(kept) > 30 and sum(corpus.values()) == pytest.approx(3)
+    none = [S.features_of(t) for t in S._parts(S.NEAR_MISSES)[1]] + list(map(list, kept))
+    sure = [S.features_of(t) for t in S._parts(S.OTHERS)[1]] + [S.features_of(t) for f in S.TEMPLATES.values() for t in f]
+    tests = spark.createDataFrame([(1, g) for g in sure] + [(0, g) for g in none], "licence int, grams array<string>")
+    assert model.threshold == pytest.approx(S.best_threshold([(1 - r.p[0], r.licence) for r in model.scored(tests).collect()]))

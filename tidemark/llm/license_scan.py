@@ -13,8 +13,10 @@ threshold is the one with the highest Youden's J. A passage above it is of the p
 some template of the family is found in it, else of ``unknown``. Of a passage that holds several licences, other families
 of which a template is found nearly whole (WHOLE) are reported too.
 
-Of the corpus, training and calibration take at most NEGATIVES passages each, those of lowest hash; all else covers all
-rows and whole texts. Texts are read once: passages are few and are checkpointed before the fit.
+Every distinct passage of the corpus that no template is found in is trained on or calibrated with, by its hash. Those that
+are trained on weigh at most NEGATIVES texts together, so that licences count alike in corpora of any size; the threshold
+follows from the counts of all others between the scores of licences. All rows and whole texts are covered. Texts are read
+once: passages are few and are checkpointed before the fit.
 
 Edge cases: a null or empty text has no passages and no licences; long texts are read whole; rows that share a doc_id
 and a text are reported once; a null doc_id is reported as null; upper case counts as lower case; equal probabilities go
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpointed
 
-#: Sampled passages of the corpus for training, and as many again for calibration.
+#: Most weight of all trained passages of the corpus together, in texts.
 NEGATIVES = 2000
 #: Shares of a template that confirm a prediction, and that count without one; most words between features of a passage.
 CONFIRM, WHOLE, GAP = 0.7, 0.95, 12
@@ -231,11 +233,12 @@ def _variants(text: str) -> list[str]:
     return [text, *cut]
 
 
-def _sampled(found: DataFrame) -> list[list[str]]:
-    """The features of a bounded sample of passages in which no template is confirmed, those of lowest hash."""
+def _halves(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The features (grams) of all distinct passages in which no template is confirmed: to train on, and for calibration."""
     known = F.greatest(F.lit(0.0), *(_found(F.col("grams"), texts) for texts in (*TEMPLATES.values(), _parts(OTHERS)[0])))
-    plain = found.select("grams").distinct().filter(known < CONFIRM)
-    return [r.grams for r in plain.orderBy(F.xxhash64("grams"), "grams").limit(2 * NEGATIVES).collect()]
+    plain = checkpointed(found.select("grams").distinct().filter(known < CONFIRM))
+    half = F.pmod(F.xxhash64("grams"), F.lit(2))
+    return plain.filter(half == 0), plain.filter(half == 1)
 
 
 class LicenseModel:
@@ -246,34 +249,50 @@ class LicenseModel:
 
     @classmethod
     def fit(cls, spark: SparkSession, found: DataFrame | None = None) -> LicenseModel:
-        """Trained on the texts above and samples of the passages ``found``."""
+        """Trained on the texts above and all passages ``found``."""
         names, vocab = [NONE, UNKNOWN, *sorted(TEMPLATES)], vocabulary()
-        corpus = _sampled(found) if found is not None else []
         rows = [(float(names.index(name)), features_of(v)) for name, texts in TEMPLATES.items() for t in texts for v in _variants(t)] * 5
         rows += [(1.0, features_of(v)) for t in _parts(OTHERS)[0] for v in _variants(t)] * 5
-        rows += [(0.0, features_of(t)) for t in _parts(NEAR_MISSES)[0]] * 5 + [(0.0, [g]) for g in vocab] + [(0.0, g) for g in corpus[::2]]
-        regression = LogisticRegression(family="multinomial", regParam=1e-4, elasticNetParam=1.0, maxIter=60, standardization=False)
-        fitted = regression.fit(_counted(spark.createDataFrame(rows, "label double, grams array<string>"), vocab))
+        rows += [(0.0, features_of(t)) for t in _parts(NEAR_MISSES)[0]] * 5 + [(0.0, [g]) for g in vocab]
+        train = spark.createDataFrame([(*r, 1.0) for r in rows], "label double, grams array<string>, weight double")
+        kept = None
+        if found is not None:
+            trained, kept = _halves(found)
+            weight = min(1.0, NEGATIVES / max(1, trained.count()))
+            train = train.unionByName(trained.select(F.lit(0.0).alias("label"), "grams", F.lit(weight).alias("weight")))
+        regression = LogisticRegression(family="multinomial", regParam=1e-4, elasticNetParam=1.0, maxIter=60, standardization=False, weightCol="weight")
+        fitted = regression.fit(_counted(train, vocab))
         model = cls(names, vocab, fitted, 0.5)
         sure = [features_of(t) for t in _parts(OTHERS)[1]] + [features_of(t) for texts in TEMPLATES.values() for t in texts]
-        none = [features_of(t) for t in _parts(NEAR_MISSES)[1]] + corpus[1::2]
+        none = [features_of(t) for t in _parts(NEAR_MISSES)[1]]
         tests = spark.createDataFrame([(1, g) for g in sure] + [(0, g) for g in none], "licence int, grams array<string>")
-        scores = [(r.p, r.licence) for r in model.scored(tests).select("licence", (1 - F.col("p")[0]).alias("p")).collect()]
-        model.threshold = best_threshold(scores)
+        model.threshold = model.calibrated(tests, kept)
         return model
 
+    def calibrated(self, tests: DataFrame, kept: DataFrame | None = None) -> float:
+        """The threshold with the highest Youden's J over ``tests`` (licence 0 or 1, grams) and passages ``kept`` (grams) without a licence."""
+        scores = [(r.p, r.licence) for r in self.scored(tests).select("licence", (1 - F.col("p")[0]).alias("p")).collect()]
+        counts = [1] * len(scores)
+        if kept is not None:
+            # J rises from one passage to the next up to the score of a licence, so the last one below each is enough, with their count.
+            cuts = F.array(*map(F.lit, sorted({p for p, y in scores if y})))
+            at = self.scored(kept).select((1 - F.col("p")[0]).alias("p"))
+            between = at.groupBy(F.size(F.filter(cuts, lambda c: c <= F.col("p"))).alias("k")).agg(F.max("p").alias("p"), F.count(F.lit(1)).alias("n")).collect()
+            scores, counts = scores + [(r.p, 0) for r in between], counts + [r.n for r in between]
+        return best_threshold(scores, counts)
+
     def scored(self, found: DataFrame) -> DataFrame:
         """``found`` with p, the probabilities of all classes."""
         return self.regression.transform(_counted(found, self.vocab)).withColumn("p", vector_to_array("probability")).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def best_threshold(scores: list[tuple[float, int]]) -> float:
+def best_threshold(scores: list[tuple[float, int]], counts: list[int] | None = None) -> float:
     """The midpoint between neighbouring scores with the highest Youden's J, the lowest of equal ones, within 0.05 and 0.95."""
-    ranked = sorted(scores)
-    total = max(1, sum(y for _, y in ranked)), max(1, sum(1 - y for _, y in ranked))
+    ranked = sorted((p, y, n) for (p, y), n in zip(scores, counts or [1] * len(scores), strict=True))
+    total = max(1, sum(n * y for _, y, n in ranked)), max(1, sum(n * (1 - y) for _, y, n in ranked))
     best, at, below = 0.0, 0.5, [0, 0]
-    for (p, y), (after, _) in zip(ranked, [*ranked[1:], (1.0, 0)], strict=False):
-        below[y] += 1
+    for (p, y, n), (after, *_) in zip(ranked, [*ranked[1:], (1.0, 0, 0)], strict=False):
+        below[y] += n
         j = below[0] / total[1] - below[1] / total[0]
         if after > p and j > best + 1e-12:
             best, at = j, (p + after) / 2
