@@ -104,6 +104,22 @@ def test_fold_sizes(spark, n, k):
     assert [sorted(i for i in exact if exact[i] == f) for f in range(k)] == [sorted(p.tolist()) for p in np.array_split(order, k)]
 
 
+def test_exact_folds_of_many_rows(spark):
+    """6,000,000 rows, as events have at 60 times sf0.1: the folds NumPy gives, without a broadcast of them."""
+    n, k = 6_000_000, 7
+    order, want = np.arange(n), np.empty(n, np.int64)
+    np.random.default_rng(42).shuffle(order)
+    for i, part in enumerate(np.array_split(order, k)):
+        want[part] = i
+    got = folds.exact_folds(spark.range(5, n + 5), "id", k, 42)
+    # The one broadcast is that of the ranges of ranks.
+    assert got._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == 1
+    sums = got.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"), F.sum(F.col("id") * F.col("id") % 1009).alias("mixed"))
+    ids = np.arange(5, n + 5)
+    assert {r.fold: (r.n, r.ids, r.mixed) for r in sums.collect()} == {f: (int((own := ids[want == f]).size), int(own.sum()), int((own * own % 1009).sum())) for f in range(k)}
+    assert folds.exact_folds(spark.range(0), "id", k, 42).count() == 0
+
+
 def test_split(spark):
     df = spark.range(1001)
     for seed in (None, 3):

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import tempfile
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.cluster import ship
 from tidemark.functions.expr import quoted
 from tidemark.operators.running import ranked
 
-#: Rows up to which a permutation is made on the driver for the "exact" mode.
-EXACT_ROWS = 5_000_000
+#: Rows that the "exact" mode handles at once.
+BATCH_ROWS = 1 << 16
 
 
 def fold_of(rank: Column, n: int, k: int) -> Column:
@@ -42,22 +45,41 @@ def key_folds(df: DataFrame, key: str, k: int, out: str = "fold") -> DataFrame:
     return ranked(df, key, "__rank").withColumn(out, fold_of(F.col("__rank"), df.count(), k)).drop("__rank")
 
 
+def shuffled_folds(spark: SparkSession, n: int, k: int, seed: int, out: str = "fold") -> DataFrame:
+    """The fold of every rank from 0 to n - 1 by NumPy's seeded shuffle of them, as columns __rank and ``out``.
+
+    The shuffle is one sequence of draws, so one task makes it, of any length: its arrays are files in the task's temporary
+    folder, 5 bytes a row up to 256 folds and 2**32 rows, and rows leave it in batches.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            with tempfile.TemporaryDirectory() as folder:
+                array = lambda name, kind: np.asarray(np.memmap(f"{folder}/{name}", kind, "w+", shape=n))
+                order, fold = array("order", np.min_scalar_type(n - 1)), array("fold", np.min_scalar_type(k - 1))
+                for at in range(0, n, BATCH_ROWS):
+                    order[at : at + BATCH_ROWS] = np.arange(at, min(n, at + BATCH_ROWS))
+                np.random.default_rng(seed).shuffle(order)
+                short, long = divmod(n, k)
+                for i in range(k):
+                    start, end = i * short + min(i, long), (i + 1) * short + min(i + 1, long)
+                    for at in range(start, end, BATCH_ROWS):
+                        fold[order[at : min(end, at + BATCH_ROWS)]] = i
+                for at in range(0, n, BATCH_ROWS):
+                    part = fold[at : at + BATCH_ROWS].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), pa.array(part)], names=["__rank", "fold"])
+
+    ship(spark)
+    return spark.range(0, min(n, 1), 1, 1).mapInArrow(run, "__rank long, fold int").toDF("__rank", out)
+
+
 def exact_folds(df: DataFrame, row_id: str, k: int, seed: int, out: str = "fold") -> DataFrame:
     """``df`` with the folds that NumPy's seeded shuffle of row positions gives, positions being ranks of ``row_id``."""
     if k < 2:
         raise ValueError("at least two folds are needed")
-    n = df.count()
-    if n > EXACT_ROWS:
-        raise ValueError(f"exact folds are made for at most {EXACT_ROWS} rows")
-    order = np.arange(n)
-    np.random.default_rng(seed).shuffle(order)
-    fold = np.empty(n, np.int64)
-    for i, part in enumerate(np.array_split(order, k)):
-        fold[part] = i
-    import pandas as pd
-
-    table = df.sparkSession.createDataFrame(pd.DataFrame({"__rank": np.arange(n), out: fold}))
-    return ranked(df, row_id, "__rank").join(table, "__rank").withColumn(out, F.col(out).cast("int")).drop("__rank")
+    # Spark takes the folds for as small as the one row that they are made from, and would broadcast them.
+    table = shuffled_folds(df.sparkSession, df.count(), k, seed, out).hint("merge")
+    return ranked(df, row_id, "__rank").join(table, "__rank").drop("__rank")
 
 
 def split_column(df: DataFrame, key: str, frac: float, seed: int | None = None, out: str = "train") -> DataFrame:
