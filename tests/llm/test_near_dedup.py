@@ -93,6 +93,57 @@ def test_later_rounds(spark, monkeypatch):
     assert got == brute(rows, 2) and len(set(got.values())) == 1
 
 
+def family(seed, near, far):
+    """Texts near one of 400 words and some that are too far from it, each with changes of its own."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(near + far):
+        copy = base[:]
+        for _ in range(rng.randint(1, 6) if i < near else rng.randint(34, 44)):
+            copy[rng.randrange(400)] = f"x{rng.randrange(10**9)}"
+        rows.append((i * 7, " ".join(copy), "en"))
+    return rows
+
+
+def test_first_round_takes_few_partners(spark, monkeypatch):
+    """A class on its own took all of a component in the first round, as it was among the few partners of each member."""
+    took, across = [], near_dedup._across
+    monkeypatch.setattr(near_dedup, "_across", lambda *args: took.append(near_dedup.checkpointed(across(*args))) or took[-1])
+    monkeypatch.setattr(near_dedup, "PARTNERS", (1, None))
+    rows = family(1, 60, 8)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), 2).collect()}
+    assert got == brute(rows, 2) and len(set(got.values())) > 2
+    first, last = (x.select("a", "b").collect() for x in took)
+    assert len(first) <= 8 + 8 * 7 // 2 and len(last) > 100
+    assert len({*first, *last}) == len(first) + len(last)
+
+
+@pytest.mark.parametrize("many,classes,shingles,block", [(1, 5, 1 << 20, 7), (3, 2048, 2000, 2048), (30, 2048, 1 << 20, 16)])
+def test_blocks_of_sets(spark, monkeypatch, many, classes, shingles, block):
+    for name, value in (("MANY", many), ("BLOCK_SETS", classes), ("BLOCK_SHINGLES", shingles), ("BLOCK", block), ("PAIRS", 50)):
+        monkeypatch.setattr(near_dedup, name, value)
+    chain = [(10_001 - k, " ".join(f"c{i}" for i in range(4 * k, 4 * k + 100)), "en") for k in range(20)]
+    again = [(i, f"{t} more words for another set", "en") for i, t, _ in family(3, 5, 5)]
+    rows = family(2, 40, 9) + chain + [(i + 700, t, "en") for i, t, _ in again]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), 2).collect()}
+    assert got == brute(rows, 2)
+
+
+def test_linked_sets():
+    """Against sets in Python, with rows that share a doc_id."""
+    rng = np.random.default_rng(4)
+    docs = [1, 2, 2, 3, 4, 5, 6, 6]
+    sets = [sorted(set(rng.integers(-12, 0, n).tolist()) | set(range(30))) for n in (3, 1, 9, 2, 14, 5, 1, 2)]
+    sets[4] = [99]
+    pairs = [(a, b) for a in range(1, 7) for b in range(a + 1, 7)]
+    own = pa.table({"doc_id": pa.array(docs, pa.int64()), "shingles": pa.array(sets, pa.list_(pa.int64()))})
+    got = near_dedup._linked(pa.table({"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}), own, 85)
+    like = lambda s, t: 100 * len(set(s) & set(t)) >= 85 * len(set(s) | set(t))
+    want = {(a, b) for a, b in pairs if any(like(s, t) for i, s in zip(docs, sets, strict=True) for j, t in zip(docs, sets, strict=True) if (i, j) == (a, b))}
+    assert set(zip(*got.to_pydict().values(), strict=True)) == want and 0 < len(want) < len(pairs)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40) if i != 20] + [(100, 90), (90, 95), (7, 7)]
     found = near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()

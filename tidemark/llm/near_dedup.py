@@ -16,7 +16,9 @@ No group is ever expanded into all its pairs:
 3. Confirmed pairs are linked into components by alternating large-star and small-star rounds on tables of edges.
 4. Buckets that still span several components are compared again, across components only, in blocks of bounded size;
    first the best few partners of each class, then more, then all that are left. Untested pairs inside one component
-   can't change the result.
+   can't change the result. Every pair is found in the first bucket that it shares only.
+5. Of pairs whose classes both have many, the sets meet in blocks too, so a set is sent once for each block that it meets
+   and not once for each pair. The pairs compared in a family of unlinked documents still grow with its square.
 
 Edge cases: a null or empty text, or one without words, has an empty set and is linked with nothing; with fewer words
 than a shingle takes, all of them are the only shingle; long texts are read whole; pairs at the threshold itself are
@@ -26,7 +28,7 @@ columns pass through :func:`deduplicated`, whatever their names; an empty table
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,11 @@ HASHES = BANDS * BAND_ROWS
 #: Pairs with a lower estimated similarity are dropped without a look at their sets.
 ESTIMATE = 0.6
 #: Classes of a bucket that are compared at once when its components are.
-BLOCK = 256
+BLOCK = 2048
+#: Pairs that are compared at once inside such a block.
+PAIRS = 1 << 18
+#: Partners from which a class meets others of as many in blocks, and the most classes and about the shingles of a block.
+MANY, BLOCK_SETS, BLOCK_SHINGLES = 64, 2048, 1 << 20
 #: Bits of the bitmap for each id, and the most of it as a power of two.
 SPARE, MOST_BITS = 16, 29
 #: Partners of a class whose sets are met in one place.
@@ -143,6 +149,15 @@ def likely(a: str, b: str, percent: int) -> Column:
     return (100 * small >= percent * large) & (estimate(F.col(f"{a}.signature"), F.col(f"{b}.signature")) >= ESTIMATE - 0.8 + percent / 100)
 
 
+def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """:func:`estimate` for rows of signatures."""
+    x = a ^ b
+    for shift in (1 << i for i in range(BITS.bit_length() - 1)):
+        x |= x >> np.uint64(shift)
+    unequal = np.bitwise_count(x & np.uint64(_LOW_BITS)).sum(axis=1, dtype=np.int64)
+    return (1 - unequal / HASHES - _SLOT) / (1 - _SLOT)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): node and component, its smallest node; nodes without edges are absent.
 
@@ -191,6 +206,65 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return left.join(right, ["a", "part"]).filter(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
 
 
+def _confirmed_in_blocks(pairs: DataFrame, facts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """:func:`_confirmed` for pairs (a, b, la, lb) of which a class may have very many.
+
+    If both have at least MANY, they meet in blocks. Classes near the same component are in the same blocks.
+    """
+    ends = bounded(pairs).select(F.explode(F.array("a", "b")).alias("doc_id"), F.least("la", "lb").alias("home"))
+    busy = checkpointed(ends.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("home").alias("home")).filter(F.col("n") >= MANY).select("doc_id", "home"))
+    if busy.isEmpty():
+        return _confirmed(pairs, sets, percent)
+    sized = busy.join(facts.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")), "doc_id")
+    blocks = sized.groupBy("home").agg(F.ceil(F.greatest(F.sum("n_shingles") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_SETS)).alias("blocks"))
+    block = F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    at = checkpointed(sized.join(blocks, "home").select("doc_id", block.alias("block")))
+    side = lambda x: at.select(F.col("doc_id").alias(x), F.col("block").alias(f"block_{x}"))
+    told = checkpointed(pairs.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left"))
+    dense = told.filter("block_a is not null and block_b is not null")
+    dense = dense.select("a", "b", F.xxhash64(F.least("block_a", "block_b"), F.greatest("block_a", "block_b")).alias("cell"))
+    needed = dense.select(F.col("cell").alias("place"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+    def meet(some: pa.Table, own: pa.Table) -> pa.Table:
+        return _linked(some, own, percent)
+
+    met = dense.groupBy("cell").cogroup(needed.join(sets, "doc_id").select("place", "doc_id", "shingles").groupBy("place")).applyInArrow(meet, "a long, b long")
+    return met.unionByName(_confirmed(told.filter("block_a is null or block_b is null"), sets, percent))
+
+
+def _linked(pairs: pa.Table, own: pa.Table, percent: int) -> pa.Table:
+    """The pairs (a, b) of which some sets are as similar as asked for; own: doc_id, shingles."""
+    docs, lists = own.column("doc_id").to_numpy(), own.column("shingles").combine_chunks()
+    order = np.argsort(docs, kind="stable")
+    docs, sizes = docs[order], lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)[order]
+    lists = lists.take(pa.array(order))
+    values, codes = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    ends = np.cumsum(sizes)
+    each = [codes[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
+    by = np.argsort(a, kind="stable")
+    a, b = a[by], b[by]
+    # Rows that share a doc_id are sets of their own.
+    low, high = np.searchsorted(docs, b, "left"), np.searchsorted(docs, b, "right")
+    seen, good = np.zeros(len(values), bool), np.zeros(len(a), bool)
+    for start, end in zip(starts := np.flatnonzero(np.append(True, a[1:] != a[:-1])).tolist(), [*starts[1:], len(a)], strict=True):
+        count = (high - low)[start:end]
+        pair = np.repeat(np.arange(start, end), count)
+        if not len(pair):
+            continue
+        other = low[pair] + np.arange(len(pair)) - np.repeat(np.cumsum(count) - count, count)
+        for i in range(np.searchsorted(docs, a[start], "left"), np.searchsorted(docs, a[start], "right")):
+            seen[each[i]] = True
+            for k in range(0, len(other), 512):
+                part = other[k : k + 512]
+                hits = np.append(0, np.cumsum(seen[np.concatenate([each[j] for j in part.tolist()])], dtype=np.int64))
+                at = np.append(0, np.cumsum(sizes[part]))
+                both = hits[at[1:]] - hits[at[:-1]]
+                good[pair[k : k + 512][100 * both >= percent * (sizes[i] + sizes[part] - both)]] = True
+            seen[each[i]] = False
+    return pa.table({"a": a[good], "b": b[good]})
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (whether it is that one).
 
@@ -214,7 +288,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     buckets = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = checkpointed(rows.join(buckets, "key").distinct())
     some = checkpointed(shared.select("doc_id").distinct())
-    facts = checkpointed(reps.select("doc_id", "n_shingles", "signature").join(some, "doc_id", "left_semi"))
+    facts = checkpointed(reps.select("doc_id", "n_shingles", "signature", "bands").join(some, "doc_id", "left_semi"))
     sets = placed(_sets(docs, some, words), "doc_id")
     sweep(docs.sparkSession)
 
@@ -230,10 +304,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         rest = checkpointed(_across(shared, facts, found_components, tested, partners, percent))
         if rest.isEmpty():
             break
-        tested = checkpointed(tested.unionByName(rest))
+        tested = checkpointed(tested.unionByName(rest.select("a", "b")))
         sweep(docs.sparkSession)
         stars = found_components.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-        more = checkpointed(_confirmed(rest, sets, percent))
+        more = checkpointed(_confirmed_in_blocks(rest, facts, sets, percent))
         if not more.isEmpty():
             found_components = checkpointed(components(stars.unionByName(more)))
 
@@ -293,22 +367,74 @@ def _across(shared: DataFrame, facts: DataFrame, found: DataFrame, tested: DataF
     """Untested likely pairs of classes that share a bucket of three or more but no component."""
     labelled = shared.filter("size > 2").join(found, F.col("doc_id") == F.col("node"), "left").select("key", "size", "doc_id", F.coalesce("component", "doc_id").alias("label"))
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    rows = labelled.join(open_keys, "key", "left_semi").join(facts, "doc_id")
+    # A set that isn't in the bucket is of another row with the same doc_id.
+    rows = labelled.join(open_keys, "key", "left_semi").join(facts, "doc_id").filter(F.array_contains("bands", F.col("key")))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    left = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = rows.withColumn("other", F.col("block"))
-    # A block meets every block of its bucket once; the order of ids keeps one of the two directions.
-    left = left.withColumn("mine", F.col("block")).alias("x")
-    right = right.withColumn("mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
-    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.mine") == F.col("y.mine")) & (F.col("x.other") == F.col("y.other"))
-    pairs = (
-        left.join(right, same & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.label") != F.col("y.label")) & likely("x", "y", percent))
-        .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb"), estimate(F.col("x.signature"), F.col("y.signature")).alias("guess"))
-        .distinct()
-        .join(tested, ["a", "b"], "left_anti")
-    )
+    # A block meets every block of its bucket once.
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id", "label", "n_shingles", "signature", "bands")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket in _grouped(batches, ["key", "low", "high"]):
+            yield from _likely_pairs(bucket, percent)
+
+    cells = bounded(rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high"))
+    pairs = cells.mapInArrow(run, "a long, b long, la long, lb long, guess double").join(tested, ["a", "b"], "left_anti")
     if partners is None:
-        return pairs.select("a", "b")
+        # Rows that share a doc_id may find a pair more than once.
+        return pairs.select("a", "b", "la", "lb").distinct()
+    pairs = checkpointed(pairs)
     best = lambda me, other: F.row_number().over(Window.partitionBy(me, other).orderBy(F.desc("guess"), "a", "b")) <= partners
-    return pairs.withColumn("first", best("a", "lb")).withColumn("second", best("b", "la")).filter("first or second").select("a", "b")
+    # The best of two components is among the best of both; a single class would take all of the other one if one side were enough.
+    return pairs.withColumn("first", best("a", "lb")).withColumn("second", best("b", "la")).filter("first and second").select("a", "b", "la", "lb").distinct()
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """The runs of rows with equal keys, whole."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        starts = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1).tolist()]
+        for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            key = tuple(int(c[start]) for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _likely_pairs(bucket: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
+    """The likely pairs between components of one or two blocks of a bucket, if it is the first that they share."""
+    get = lambda name: bucket.column(name).to_numpy()
+    wide = lambda name, width: bucket.column(name).combine_chunks().flatten().to_numpy().reshape(-1, width)
+    key, low, high = (bucket.column(c)[0].as_py() for c in ("key", "low", "high"))
+    doc, label, size, block = get("doc_id"), get("label"), get("n_shingles"), get("block")
+    if not (label != label[0]).any():
+        return
+    signature, bands = wide("signature", _WIDTH).view(np.uint64), wide("bands", BANDS)
+    left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    step = max(1, PAIRS // max(1, len(right)))
+    for k in range(0, len(left), step):
+        some = left[k : k + step]
+        unlike = label[some][:, None] != label[right]
+        if low == high:
+            unlike &= doc[some][:, None] < doc[right]
+        i, j = np.nonzero(unlike)
+        i, j = some[i], right[j]
+        fit = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
+        i, j = i[fit], j[fit]
+        guess = estimates(signature[i], signature[j])
+        near = guess >= ESTIMATE - 0.8 + percent / 100
+        i, j, guess = i[near], j[near], guess[near]
+        first = np.argmax(bands[i] == bands[j], axis=1)
+        own = bands[i, first] == key
+        i, j, guess = i[own], j[own], guess[own]
+        i, j = np.where(doc[i] < doc[j], i, j), np.where(doc[i] < doc[j], j, i)
+        yield pa.RecordBatch.from_pydict({"a": doc[i], "b": doc[j], "la": label[i], "lb": label[j], "guess": guess})
